@@ -1,0 +1,5 @@
+"""Empty on purpose.
+
+Every job in scope is a finite scan of stored episodes: there is no watermark,
+window over arrival time or late data to handle, so no streaming operator is built.
+"""
