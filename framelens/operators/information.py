@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.operators.quantiles import exact_quantiles
+from framelens.session import written
 
 
 def clog(count: Column) -> Column:
@@ -81,6 +82,7 @@ def action_information(rows: DataFrame, targets: dict[str, str], bins: int, ids:
     elements = target_elements(rows, targets, ids)
     binned = quantile_bins(elements, ["target", "dim"], "y", bins)
     joint = binned.groupBy(ids, "target", "dim", "bin").agg(F.count("*").alias("count"))
+    joint = written(rows.sparkSession, joint)
     features = F.concat(
         F.array(F.struct(F.lit("id_sequence").alias("feature"), F.array_join(ids, " ").alias("x"))),
         F.transform(

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.functions import tensors
+from framelens.operators.frames import future_action_mean, progress_context
+from framelens.operators.buckets import assign_sequence_buckets
 from framelens.operators.ordering import positions
+from framelens.sources.prepared import prepared
 
 TAIL = 10
 FPS = 10.0
@@ -22,10 +25,11 @@ def minute_of(ts: str) -> Column:
     return (F.unix_date(F.to_date(ts)) * 1440 + F.hour(ts) * 60 + F.minute(ts)).cast("bigint")
 
 
-def frames(spark: SparkSession, sf_dir: str, tail: int = TAIL) -> DataFrame:
+def order_frames(spark: SparkSession, sf_dir: str, tail: int = TAIL) -> DataFrame:
     """One row per event; an episode is a user, its frames are ordered by (ts, event_id).
 
-    The last ``tail`` frames of an episode are invalid.
+    The last ``tail`` frames of an episode are invalid. Positions are found per (user,
+    minute), so one very active user is spread over many tasks.
     """
     vectors = table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
     events = table(spark, sf_dir, "events").select(
@@ -80,9 +84,45 @@ def latents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labeled_frames(spark: SparkSession, sf_dir: str, tail: int = TAIL) -> DataFrame:
+FRAME_COLUMNS = (
+    "idx", "episode_index", "task_index", "frame_index", "episode_len", "timestamp", "action", "vec_id", "valid"
+)
+
+
+def build_labeled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with the labels of their vector (the join picks broadcast by size)."""
-    return frames(spark, sf_dir, tail).join(latents(spark, sf_dir), "vec_id")
+    labels = latents(spark, sf_dir).drop("slots")
+    return order_frames(spark, sf_dir).join(labels, "vec_id")
+
+
+def _inputs(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/events.parquet", f"{sf_dir}/embeddings.parquet"]
+
+
+def labeled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored labeled dataset: frames, their labels, and the slotted form of the labels."""
+    stored = prepared(spark, "labeled_frames", _inputs(sf_dir), lambda: build_labeled_frames(spark, sf_dir))
+    return stored.withColumn("slots", tensors.reshape(F.col("continuous"), (SLOTS, SLOT_SIZE)))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame columns of the stored dataset; label columns are pruned at the scan."""
+    return labeled_frames(spark, sf_dir).select(*FRAME_COLUMNS)
+
+
+def build_valid_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per valid frame with everything the diagnostics need."""
+    rows = future_action_mean(labeled_frames(spark, sf_dir).select(*FRAME_COLUMNS, "ids"), TAIL, 3)
+    bucketed = assign_sequence_buckets(rows)
+    progress = progress_context(frames(spark, sf_dir)).select("idx", "progress", "valid_len")
+    return bucketed.join(progress, "idx").select(
+        "idx", "episode_index", "frame_index", "progress", "valid_len", "ids", "bucket", "bucket_label",
+        "action", "future_mean",
+    )
+
+
+def valid_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(spark, "valid_frames", _inputs(sf_dir), lambda: build_valid_frames(spark, sf_dir))
 
 
 def codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
