@@ -54,10 +54,8 @@ def as_slots(x: Column, rank: int) -> Column:
 def reshape(flat: Column, shape: tuple[int, ...]) -> Column:
     """Row-major reshape of a flat array; a wrong length fails the job."""
     size = reduce(lambda a, b: a * b, shape, 1)
-    checked = F.when(F.size(flat) == size, flat).otherwise(
-        F.raise_error(F.lit(f"tensor does not have {size} elements")).cast("array<double>")
-    )
-    return _nest(checked, tuple(shape))
+    wrong = F.raise_error(F.lit(f"tensor does not have {size} elements"))
+    return _nest(F.when(F.size(flat) == size, flat).otherwise(wrong), tuple(shape))
 
 
 def _nest(flat: Column, shape: tuple[int, ...]) -> Column:

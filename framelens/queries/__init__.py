@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("time_order", "distribution")
+MODULES = ("time_order", "distribution", "scoring", "learning", "artifacts")
 
 
 def registered():
