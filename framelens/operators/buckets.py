@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from framelens.functions import fixed, tensors
 from framelens.operators.frames import _running_starts, progress_bin
 from framelens.operators.information import clog, entropy_from, mutual_information
-from framelens.operators.ordering import CHUNK_FRAMES, at_offset, lookup_counted, own_rows, running_before, with_halo
+from framelens.operators.ordering import CHUNK_FRAMES, attach, lookup_counted, own_rows, running_before, with_halo
 
 
 def sequence_buckets(rows: DataFrame, ids: str = "ids") -> DataFrame:
@@ -41,8 +41,7 @@ def action_stats(rows: DataFrame, keys: list[str], target: str, action_dim: int)
         *[F.stddev_pop(F.col(target)[d]).alias(f"std_a{d}") for d in dims],
     )
     totals = per_bucket.groupBy(*keys).agg(F.sum("count").alias("_total"))
-    joined = per_bucket.join(totals, keys) if keys else per_bucket.join(totals, F.lit(True))
-    return joined.withColumn("fraction", F.col("count") / F.col("_total")).drop("_total")
+    return attach(per_bucket, totals, keys).withColumn("fraction", F.col("count") / F.col("_total")).drop("_total")
 
 
 def variance_explained(stats: DataFrame, keys: list[str], action_dim: int) -> DataFrame:
@@ -59,7 +58,7 @@ def variance_explained(stats: DataFrame, keys: list[str], action_dim: int) -> Da
     by_dim = [*keys, "dim"]
     n = F.sum("count")
     centre = long.groupBy(*by_dim).agg((F.sum(F.col("mean") * F.col("count")) / n).alias("_centre"))
-    spread = long.join(centre, by_dim).groupBy(*by_dim).agg(
+    spread = attach(long, centre, by_dim).groupBy(*by_dim).agg(
         (F.sum(F.col("std") * F.col("std") * F.col("count")) / n).alias("within"),
         (F.sum((F.col("mean") - F.col("_centre")) ** 2 * F.col("count")) / n).alias("between"),
         (F.sum(F.col("std") * F.col("count")) / n).alias("within_std"),
@@ -81,7 +80,7 @@ def variance_explained(stats: DataFrame, keys: list[str], action_dim: int) -> Da
         F.max("count").alias("max_bucket_usage"),
         (F.max("count") / F.sum("count")).alias("max_bucket_fraction"),
     )
-    return usage.join(per_key, keys) if keys else usage.join(per_key, F.lit(True))
+    return attach(usage, per_key, keys)
 
 
 def bucket_episode_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,7 +141,7 @@ def context_stats(rows: DataFrame, keys: list[str], bins: int, chunk: int = CHUN
     by = [*keys, "bucket"]
     stats = episode_stats(rows, keys)
     totals = stats.groupBy(*keys).agg(F.sum("count").alias("_total"))
-    stats = (stats.join(totals, keys) if keys else stats.join(totals, F.lit(True))).withColumn(
+    stats = attach(stats, totals, keys).withColumn(
         "fraction", F.col("count") / F.col("_total")
     ).drop("_total")
     return stats.join(run_lengths(rows, keys, chunk), by).join(progress_coverage(rows, keys, bins), by)
@@ -170,7 +169,7 @@ def context_summary(rows: DataFrame, keys: list[str], bins: int, chunk: int = CH
     )
     nmi = mutual_information(bucket_episode_counts(rows, keys), keys, "bucket", "episode_index", "n")
     nmi = nmi.select(*keys, F.col("nmi").alias("bucket_episode_nmi"))
-    joined = means.join(nmi, keys, "left") if keys else means.join(nmi, F.lit(True), "left")
+    joined = means.join(nmi, keys, "left") if keys else attach(means, nmi, keys)
     return joined.withColumn("bucket_episode_nmi", F.coalesce("bucket_episode_nmi", F.lit(0.0)))
 
 
@@ -211,8 +210,7 @@ def consistency_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
     totals = base.groupBy(*keys).agg(F.sum("count").alias("_total"))
     out = base.join(reached, by)
-    out = out.join(totals, keys) if keys else out.join(totals, F.lit(True))
-    return out.withColumn("fraction", F.col("count") / F.col("_total")).drop("_total")
+    return attach(out, totals, keys).withColumn("fraction", F.col("count") / F.col("_total")).drop("_total")
 
 
 CONSISTENCY_MEANS = {
@@ -242,7 +240,7 @@ def consistency_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
     latent = pairs.select(*keys, "latent_bucket").distinct().groupBy(*keys).agg(F.count("*").alias("latent_active_buckets"))
     out = means
     for other in (info, latent):
-        out = out.join(other, keys) if keys else out.join(other, F.lit(True))
+        out = attach(out, other, keys)
     return out.withColumn("latent_given_action_entropy", F.col("weighted_mean_latent_entropy"))
 
 

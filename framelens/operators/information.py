@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelens.operators.ordering import attach
 from framelens.operators.quantiles import exact_quantiles
 from framelens.session import written
 
@@ -39,7 +40,7 @@ def mutual_information(joint: DataFrame, keys: list[str], x: str, y: str, count:
 
     joined = part([x, y], "_hxy")
     for other in (part([x], "h_x"), part([y], "h_y")):
-        joined = joined.join(other, keys) if keys else joined.join(other, F.lit(True))
+        joined = joined.join(other, keys) if keys else attach(joined, other, keys)
     mi = F.greatest(F.col("h_x") + F.col("h_y") - F.col("_hxy"), F.lit(0.0))
     mean = (F.col("h_x") + F.col("h_y")) / 2
     nmi = F.when((F.col("h_x") == 0) & (F.col("h_y") == 0), F.lit(1.0)).otherwise(F.col("mi") / mean)
@@ -65,12 +66,15 @@ def bin_edges(elements: DataFrame, keys: list[str], value: str, bins: int) -> Da
 
 
 def quantile_bins(elements: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
-    """``bin``: how many inner edges are at or below the value; 0 when there is no inner edge."""
+    """``bin``: how many inner edges are at or below the value; 0 when there is no inner edge.
+
+    ``keys`` name targets and dimensions, so there are few rows of edges.
+    """
     edges = bin_edges(elements, keys, value, bins)
     inner = F.slice(F.col("edges"), F.lit(2), F.size("edges") - 2)
     below = F.size(F.filter(inner, lambda e: e <= F.col(value)))
     bin_id = F.when(F.size("edges") <= 2, F.lit(0)).otherwise(below).cast("bigint")
-    return elements.join(edges, keys).withColumn("bin", bin_id).drop("edges", "n_bins")
+    return attach(elements, edges, keys).withColumn("bin", bin_id).drop("edges", "n_bins")
 
 
 def action_information(rows: DataFrame, targets: dict[str, str], bins: int, ids: str = "ids") -> DataFrame:

@@ -45,13 +45,18 @@ def standardize(rows: DataFrame, feature: str, fit_rows: DataFrame, out: str) ->
     ).drop("_m")
 
 
+def _fit_rows(rows: DataFrame, n: int | None, key: str, seed: int | str) -> DataFrame:
+    """A capped sample is written, since fitting reads it many times; all rows are read as they are."""
+    return rows if n is None else written(rows.sparkSession, fit_sample(rows, n, key, seed))
+
+
 def kmeans_buckets(
     rows: DataFrame, feature: str, clusters: int, fit_rows: int | None, key: str, seed: int, prefix: str
 ) -> tuple[DataFrame, DataFrame]:
     """Assigned rows (``bucket``, ``bucket_label``) and one summary row with the center norms."""
     n = rows.count()
     k = min(clusters, n)
-    sample = fit_sample(rows, fit_rows, key, seed)
+    sample = _fit_rows(rows.select(key, feature), fit_rows, key, seed)
     scaled = standardize(rows, feature, sample, "_scaled").withColumn("_v", array_to_vector("_scaled"))
     fit_on = standardize(sample, feature, sample, "_scaled").select(array_to_vector("_scaled").alias("_v"))
     model = KMeans(featuresCol="_v", predictionCol="_cluster", k=k, seed=seed, maxIter=100).fit(fit_on)
@@ -74,7 +79,7 @@ def principal_plane(
 
     Each component points to the side of its largest loading.
     """
-    fit_on = fit_sample(rows, fit_rows, key, f"{seed}-fit").select(array_to_vector(feature).alias("_v"))
+    fit_on = _fit_rows(rows.select(key, feature), fit_rows, key, f"{seed}-fit").select(array_to_vector(feature).alias("_v"))
     model = PCA(k=2, inputCol="_v", outputCol="_pc").fit(fit_on)
     loadings = model.pc.toArray()
     signs = np.sign(loadings[np.abs(loadings).argmax(0), [0, 1]])
@@ -236,7 +241,7 @@ def run_probes(
         split = episode_split(rows, n, test_share, seed)
     else:
         raise ValueError(f"unsupported split {split_mode!r}")
-    split = written(rows.sparkSession, split)
+    split = written(rows.sparkSession, split.select("side", *available.values(), *targets.values()))
     return union_probes(*[
         fit_probe(split, name, column, targets, split_mode, model, alpha, seed=seed)
         for model in models for name, column in available.items()

@@ -18,6 +18,19 @@ CHUNK_FRAMES = 65536
 COARSE_EPISODES = 4096
 HOT_SHARE = 1000
 SALTS = 64
+BROADCAST_ROWS = 100_000
+
+
+def attach(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of a table with one row per key, where the caller bounds the keys.
+
+    Keys are names of bucketings, formats, slots or dimensions, so the table is tiny. Without
+    keys the table is a single row and becomes a scalar.
+    """
+    if keys:
+        return df.join(F.broadcast(table), list(keys))
+    row = table.select(F.struct(*table.columns).alias("row")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")
 
 
 def chunk_of(frame: str = "frame_index", chunk: int = CHUNK_FRAMES) -> Column:

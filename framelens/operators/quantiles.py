@@ -1,9 +1,10 @@
 """Exact quantiles with linear interpolation, for any number of rows per group.
 
-Spark's ``percentile`` keeps all distinct values of a group in one task. Here the wanted
-ranks are located by repeated equal-width histograms: each pass counts the rows of a cell in
-bins (partial aggregation, nothing else is shuffled), keeps the few bins that hold a wanted
-rank, and stops when every cell is small enough to sort. Small groups need no pass at all.
+Spark's ``percentile`` keeps all distinct values of a group in one task. Here a group that
+is small enough is counted by value and its ranks are read off. In a larger group the wanted
+ranks are first located by equal-width histograms: each pass counts the rows of a cell in
+bins (only the counts are shuffled) and keeps the few bins that hold a wanted rank, until
+every cell is small or holds one value.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import fixed
+from framelens.operators.ordering import BROADCAST_ROWS, attach
+from framelens.session import written
 
 CELL_ROWS = 4_000_000
 BINS = 4096
@@ -30,27 +33,30 @@ def exact_quantiles(
     bins: int = BINS,
 ) -> DataFrame:
     """One row per key with one column per named probability."""
-    keyed = ["_all"] if not keys else keys
+    spark = df.sparkSession
+    keyed = keys or ["_all"]
     base = df.select(*([F.lit(0).alias("_all")] if not keys else keys), value.cast("double").alias("_v"))
     base = base.where(F.col("_v").isNotNull())
 
     lower = [F.floor(_wanted(F.col("_n"), p)).cast("bigint") for p in probs.values()]
     ranks = F.array_distinct(F.array(*lower, *[F.least(r + 1, F.col("_n") - 1) for r in lower]))
-    span = base.groupBy(*keyed).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    span = span.withColumn("_ranks", ranks).persist()
-    cells = span.select(
-        *keyed, F.lit(0).cast("bigint").alias("_c"), "_lo", "_hi", F.lit(0).cast("bigint").alias("_before"), "_n", "_ranks"
-    )
+    span = base.groupBy(*keyed).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    span = written(spark, span.withColumn("_ranks", ranks))
+
+    zero = F.lit(0).cast("bigint")
+    cells = span.select(*keyed, zero.alias("_c"), "_lo", "_hi", zero.alias("_before"), "_n", "_ranks")
+    large = (F.col("_n") > cell_rows) & (F.col("_hi") > F.col("_lo"))
+    hot = cells.where(large)
+    n_hot = hot.count()  # at most rows / cell_rows
+    located = base.withColumn("_c", zero)
+    if n_hot:
+        hot = _split(spark, base, hot, keyed, large, bins)
+        hot_keys = _sized(span.where(large).select(*keyed), n_hot)
+        located = base.join(hot_keys, keyed, "left_anti").withColumn("_c", zero).unionByName(
+            _locate(base, hot, keyed, n_hot).select(*keyed, "_v", "_c")
+        )
+        cells = cells.where(~large).unionByName(hot)
 
-    level = 0
-    while _largest(cells) > cell_rows:
-        located = _locate(base, cells, keyed)
-        cells = _refine(located, cells, keyed, bins).persist()
-        level += 1
-
-    located = _locate(base, cells, keyed) if level else base.withColumn("_c", F.lit(0).cast("bigint"))
     counted = located.groupBy(*keyed, "_c", "_v").agg(F.count("*").alias("_m"))
     running = Window.partitionBy(*keyed, "_c").orderBy("_v")
     ranked = (
@@ -67,38 +73,46 @@ def exact_quantiles(
     return joined.select(*keys, *[_interpolated(p).alias(name) for name, p in probs.items()])
 
 
-def _largest(cells: DataFrame) -> int:
-    """Rows of the largest cell that still holds more than one value."""
-    return cells.where("_hi > _lo").agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+def _sized(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table whose rows were counted, if they are few; else let Spark shuffle."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def _split(spark, base: DataFrame, cells: DataFrame, keys: list[str], large: Column, bins: int) -> DataFrame:
+    """Cut large cells into bins until none is left."""
+    while True:
+        todo = cells.where(large)
+        n = todo.count()
+        if not n:
+            return cells
+        finer = _refine(_locate(base, todo, keys, n), todo, keys, bins)
+        cells = written(spark, cells.where(~large).unionByName(finer))
 
 
-def _locate(base: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+def _locate(base: DataFrame, cells: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Rows that lie in a cell, with its number; a key has at most two cells per probability."""
     per_key = cells.groupBy(*keys).agg(F.collect_list(F.struct("_c", "_lo", "_hi")).alias("_cells"))
     hit = F.get(F.filter("_cells", lambda c: (F.col("_v") >= c["_lo"]) & (F.col("_v") <= c["_hi"])), F.lit(0))
-    found = base.join(per_key, keys).withColumn("_cell", hit).where(F.col("_cell").isNotNull())
+    found = base.join(_sized(per_key, rows), keys).withColumn("_cell", hit).where(F.col("_cell").isNotNull())
     return found.select(*keys, "_v", "_cell._c", "_cell._lo", "_cell._hi")
 
 
 def _refine(located: DataFrame, cells: DataFrame, keys: list[str], bins: int) -> DataFrame:
     width = F.col("_hi") - F.col("_lo")
-    bin_id = F.when(
-        width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1))
-    ).otherwise(F.lit(0)).cast("bigint")
+    bin_id = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1)).cast("bigint")
     histogram = located.withColumn("_b", bin_id).groupBy(*keys, "_c", "_b").agg(
         F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     earlier = Window.partitionBy(*keys, "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    start, end = F.col("_before"), F.col("_before") + F.col("_n")
     placed = (
         histogram.withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .join(cells.select(*keys, "_c", F.col("_before").alias("_base"), F.col("_ranks").alias("_all_ranks")), [*keys, "_c"])
+        .join(cells.select(*keys, "_c", F.col("_before").alias("_base"), F.col("_ranks").alias("_wanted")), [*keys, "_c"])
         .withColumn("_before", F.col("_base") + F.col("_earlier"))
-        .withColumn("_ranks", F.filter(
-            "_all_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))
-        ))
+        .withColumn("_ranks", F.filter("_wanted", lambda r: (r >= start) & (r < end)))
     )
     return placed.where(F.size("_ranks") > 0).select(
-        *keys, (F.col("_c") * bins + F.col("_b")).alias("_c"), "_lo", "_hi", "_before", "_n", "_ranks"
+        *keys, (F.col("_c") * bins + F.col("_b") + 1).alias("_c"), "_lo", "_hi", "_before", "_n", "_ranks"
     )
 
 
@@ -122,9 +136,7 @@ def summary(df: DataFrame, keys: list[str], value: Column, probs: dict[str, floa
         F.max("_value").alias("max"),
     )
     quantiles = exact_quantiles(wanted, keys, F.col("_value"), probs)
-    if keys:
-        return moments.join(quantiles, keys)
-    return moments.join(quantiles, F.lit(True))
+    return moments.join(quantiles, keys) if keys else attach(moments, quantiles, keys)
 
 
 def counted_percentile(value: Column, count: Column, prob: float) -> Column:

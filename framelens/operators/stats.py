@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import fixed, tensors
-from framelens.operators.ordering import lookup_counted
+from framelens.operators.ordering import attach, lookup_counted
 from framelens.operators.quantiles import counted_percentile, exact_quantiles, summary
 
 
@@ -114,13 +114,16 @@ def distinct_sequences(rows: DataFrame, ids: str = "ids") -> DataFrame:
 
 
 def histogram(values: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
-    """Equal-width counts between min and max; a constant column is spread around its value."""
+    """Equal-width counts between min and max; a constant column is spread around its value.
+
+    ``keys`` name slots or formats, of which the declared shape allows few.
+    """
     span = values.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     flat = F.col("_hi") == F.col("_lo")
     lo = F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo"))
     hi = F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi"))
     span = span.select(*keys, lo.alias("_lo"), hi.alias("_hi"))
-    joined = values.join(span, keys) if keys else values.join(span, F.lit(True))
+    joined = attach(values, span, keys)
     share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     bin_id = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("bigint")
     return joined.groupBy(*keys, bin_id.alias("bin")).agg(F.count("*").alias("count"))

@@ -11,6 +11,7 @@ from framelens.operators import models as md
 from framelens.operators import sampling as sp
 from framelens.operators import scores as sc
 from framelens.operators import stats as st
+from framelens.operators.ordering import attach
 from framelens.queries.registry import query, r6, rounded
 from framelens.session import written
 from framelens.sources import tables as T
@@ -93,7 +94,7 @@ def kmeans_latent_buckets(spark, sf):
     rows = fr.valid_rows(T.labeled_frames(spark, sf)).select("idx", "continuous")
     assigned, summary = md.kmeans_buckets(rows, "continuous", 16, 2000, "idx", 0, "cluster_")
     counts = assigned.groupBy("bucket", "bucket_label").agg(F.count("*").alias("bucket_count"))
-    return counts.join(summary, F.lit(True))
+    return attach(counts, summary, [])
 
 
 @query("kmeans_action_buckets")
@@ -103,7 +104,7 @@ def kmeans_action_buckets(spark, sf):
         rows = T.valid_frames(spark, sf).select("idx", column)
         assigned, summary = md.kmeans_buckets(rows, column, 8, 2000, "idx", 0, "action_cluster_")
         counts = assigned.groupBy("bucket", "bucket_label").agg(F.count("*").alias("bucket_count"))
-        one = counts.join(summary, F.lit(True)).withColumn("action_target", F.lit(target))
+        one = attach(counts, summary, []).withColumn("action_target", F.lit(target))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -175,7 +176,7 @@ pr AS (SELECT 'persistence' AS probe_model, feature_set, target, CAST(d AS BIGIN
 ps0 AS (SELECT probe_model, 'episode' AS split_mode, feature_set, target, (SELECT count(*) FROM r WHERE side = 'train') AS n_train, action_dim,
    count(*) AS n_test, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, avg((y - p) ** 2) AS mse FROM pr GROUP BY ALL),
 ps AS (SELECT *, avg(r2) OVER w AS avg_r2_for_target, avg(mse) OVER w AS avg_mse_for_target FROM ps0 WINDOW w AS (PARTITION BY probe_model, feature_set, target)),
-pm AS (SELECT probe_model, split_mode, feature_set, target, avg(r2) AS mean_r2, avg(mse) AS mean_mse FROM ps GROUP BY ALL)
+pm AS (SELECT probe_model, split_mode, feature_set, target, round(avg(r2), 9) AS mean_r2, round(avg(mse), 9) AS mean_mse FROM ps GROUP BY ALL)
 """
 
 
@@ -220,7 +221,8 @@ def union_probe_tables(spark, sf):
 @query("probe_score_summary", PREDICTIONS_SQL + """
 SELECT probe_model, split_mode, feature_set, target, round(mean_r2, 6) AS mean_r2, round(mean_mse, 6) AS mean_mse FROM pm""")
 def probe_score_summary(spark, sf):
-    return rounded(sc.probe_summary(sc.union_probes(*prediction_scores(spark, sf))), "mean_r2", "mean_mse")
+    table = sc.probe_summary(sc.union_probes(*prediction_scores(spark, sf)))
+    return rounded(table.withColumns({c: F.round(c, 9) for c in ("mean_r2", "mean_mse")}), "mean_r2", "mean_mse")
 
 
 @query("best_probe_per_model", PREDICTIONS_SQL + """
@@ -230,6 +232,8 @@ SELECT br.probe_model, br.split_mode, br.feature_set AS best_r2_feature_set, br.
   bm.feature_set AS best_mse_feature_set, bm.target AS best_mse_target, round(bm.mean_mse, 6) AS best_mean_mse FROM br JOIN bm USING (probe_model)""")
 def best_probe_per_model(spark, sf):
     table = sc.probe_summary(sc.union_probes(*prediction_scores(spark, sf)))
+    # equal errors must tie in every engine, so the last digits are cut before ranking
+    table = table.withColumns({c: F.round(c, 9) for c in ("mean_r2", "mean_mse")})
     return rounded(sc.best_probes(table), "best_mean_r2", "best_mean_mse")
 
 
