@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from framelens.functions import fixed
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often or deep ``use`` refers to it.
+
+    A plain reference inside a lambda may be inlined and so computed again per element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def doubles(x: Column) -> Column:
     """Elements as float64, so sums do not depend on the stored width."""
     return F.transform(x, lambda v: v.cast("double"))
@@ -80,8 +88,9 @@ def zeros_like(x: Column) -> Column:
 
 
 def round_elements(x: Column, decimals: int) -> Column:
-    """Half-even rounding of each element."""
-    return F.transform(doubles(x), lambda v: F.bround(v, decimals))
+    """Half-even rounding of each scaled element, as numerical libraries round."""
+    scale = float(10**decimals)
+    return F.transform(x, lambda v: F.rint(v.cast("double") * scale) / scale)
 
 
 def difference(a: Column, b: Column) -> Column:

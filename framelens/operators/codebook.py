@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import hashing, tensors
@@ -68,12 +68,13 @@ def with_code_vectors(rows: DataFrame, codebook: DataFrame) -> DataFrame:
 
 def relaxed(rows: DataFrame, delta: str, code: str, key: str, seed: int, size: int, eps: float = 0.0) -> DataFrame:
     """``relaxed`` = delta + (|delta - code| / |random| + eps) * random, reproducible by key."""
-    rows = rows.withColumn("_random", hashing.normal_array(F.col(key), size, seed))
     residual = tensors.l2_norm(tensors.difference(F.col(delta), F.col(code)))
-    scale = residual / tensors.l2_norm(F.col("_random")) + F.lit(float(eps))
-    return rows.withColumn("_scale", scale).withColumn(
-        "relaxed", F.zip_with(delta, "_random", lambda d, r: d + F.col("_scale") * r)
-    ).drop("_random", "_scale")
+
+    def moved(random: Column) -> Column:
+        scale = residual / tensors.l2_norm(random) + F.lit(float(eps))
+        return tensors.bound(scale, lambda s: F.zip_with(delta, random, lambda d, r: d + s * r))
+
+    return rows.withColumn("relaxed", tensors.bound(hashing.noise_array(F.col(key), size, seed), moved))
 
 
 def shuffled_control(rows: DataFrame, key: str, value: str, batch_rows: int, seed: int) -> DataFrame:

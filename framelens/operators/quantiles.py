@@ -16,7 +16,7 @@ from framelens.functions import fixed
 from framelens.operators.ordering import BROADCAST_ROWS, attach
 from framelens.session import written
 
-CELL_ROWS = 4_000_000
+CELL_ROWS = 16_000_000
 BINS = 4096
 
 

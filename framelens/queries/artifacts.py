@@ -376,15 +376,15 @@ def label_spec_check(spark, sf):
     return lab.spec_violations(spec_table(spark, sf))
 
 
-HEX = "CAST('0x' || substr(md5(idx || ':' || i || '|21'), {0}, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE)"
+HEX = "CAST('0x' || substr(md5(idx || ':' || (i // 2) || '|21'), {0}, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE)"
 
 
 @query("synthetic_labels", f"""
 , x AS (SELECT f.idx, i, CASE WHEN c.c_custkey IS NULL THEN 'uniform' WHEN c.c_nationkey % 2 = 0 THEN 'constant' ELSE 'gaussian' END AS mode, c.c_nationkey AS k,
-   {HEX.format(1)} AS u, {HEX.format(13)} AS w
+   {HEX.format(1)} AS u, {HEX.format(13)} AS w, CAST(6.283185307179586 AS DOUBLE) AS turn
    FROM frames f LEFT JOIN customer c ON c.c_custkey = f.episode_index AND c.c_acctbal > 2000, range(6) t(i))
-SELECT idx, CAST(i // 3 AS BIGINT) AS slot, CAST(i % 3 AS BIGINT) AS dim, round(CASE mode WHEN 'uniform' THEN -0.5 + u WHEN 'constant' THEN k
-   ELSE k + 0.25 * sqrt(-2 * ln(1 - u)) * cos(CAST(6.283185307179586 AS DOUBLE) * w) END, 6) AS x FROM x""")
+SELECT idx, CAST(i // 3 AS BIGINT) AS slot, CAST(i % 3 AS BIGINT) AS dim, round(CASE mode WHEN 'uniform' THEN -0.5 + CASE WHEN i % 2 = 0 THEN u ELSE w END WHEN 'constant' THEN k
+   ELSE k + 0.25 * sqrt(-2 * ln(1 - u)) * CASE WHEN i % 2 = 0 THEN cos(turn * w) ELSE sin(turn * w) END END, 6) AS x FROM x""")
 def synthetic_labels(spark, sf):
     nation = F.col("c_nationkey")
     groups = T.table(spark, sf, "customer").where("c_acctbal > 2000").select(

@@ -79,7 +79,7 @@ def exact_unique_rows(spark, sf):
     return st.unique_rows(valid_latents(spark, sf), F.col("continuous"))
 
 
-@query("rounded_unique_rows", UNIQUE.format(key="list_transform(e, lambda x: round_even(x, 1) + 0.0)"))
+@query("rounded_unique_rows", UNIQUE.format(key="list_transform(e, lambda x: round_even(x * 10, 0) / 10 + 0.0)"))
 def rounded_unique_rows(spark, sf):
     return st.unique_rows(valid_latents(spark, sf), tensors.round_elements(F.col("continuous"), 1))
 
@@ -115,7 +115,7 @@ def format_sequence(spark, sf):
 
 
 @query("round_vectors", """
-SELECT vec_id, CAST(p AS BIGINT) AS pos, round(round_even(e[p + 1], 3) + 0.0, 6) AS x FROM lat, range(64) r(p)""")
+SELECT vec_id, CAST(p AS BIGINT) AS pos, round(round_even(e[p + 1] * 1000, 0) / 1000 + 0.0, 6) AS x FROM lat, range(64) r(p)""")
 def round_vectors(spark, sf):
     rows = T.latents(spark, sf).select("vec_id", F.posexplode(tensors.round_elements(F.col("continuous"), 3)).alias("pos", "x"))
     return rows.select("vec_id", F.col("pos").cast("bigint").alias("pos"), (r6("x") + F.lit(0.0)).alias("x"))
