@@ -170,7 +170,8 @@ def context_summary(rows: DataFrame, keys: list[str], bins: int, chunk: int = CH
     nmi = mutual_information(bucket_episode_counts(rows, keys), keys, "bucket", "episode_index", "n")
     nmi = nmi.select(*keys, F.col("nmi").alias("bucket_episode_nmi"))
     joined = means.join(nmi, keys, "left") if keys else attach(means, nmi, keys)
-    return joined.withColumn("bucket_episode_nmi", F.coalesce("bucket_episode_nmi", F.lit(0.0)))
+    some = F.col("bucket_episode_nmi").isNotNull() & (F.col("total_rows") > 0)
+    return joined.withColumn("bucket_episode_nmi", F.when(some, F.col("bucket_episode_nmi")).otherwise(F.lit(0.0)))
 
 
 def consistency_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
