@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import hashing, tensors
+from framelens.operators.ordering import lookup_counted
 
 CODE_NUMBERS = 4_000_000
 BLOCK_CODES = 4096
@@ -61,9 +62,14 @@ def _search(tokens: DataFrame, vector: str, ids: np.ndarray, codes: np.ndarray)
     return tokens.mapInPandas(find, f"{fields}, code_id bigint, sq_distance double")
 
 
-def with_code_vectors(rows: DataFrame, codebook: DataFrame) -> DataFrame:
-    """Attach the vector of the row's code."""
-    return rows.join(codebook, "code_id")
+def with_code_vectors(rows: DataFrame, codebook: DataFrame, key: str = "idx", max_numbers: int = CODE_NUMBERS) -> DataFrame:
+    """Attach the vector of the row's code: a small codebook is broadcast after counting it,
+    else the rows of much used codes are salted."""
+    size = codebook.agg(F.count("*"), F.coalesce(F.max(F.size("code")), F.lit(0))).first()
+    if size[0] * size[1] <= max_numbers:
+        return rows.join(F.broadcast(codebook), "code_id")
+    used = rows.groupBy("code_id").agg(F.count("*").alias("_used"))
+    return lookup_counted(rows, codebook.join(used, "code_id"), "code_id", "_used", key).drop("_used")
 
 
 def relaxed(rows: DataFrame, delta: str, code: str, key: str, seed: int, size: int, eps: float = 0.0) -> DataFrame:

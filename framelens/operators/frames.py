@@ -17,6 +17,7 @@ from framelens.operators.ordering import (
     at_offset,
     chunk_of,
     episode_window,
+    join_by_episode,
     own_rows,
     positions,
     running_before,
@@ -205,12 +206,15 @@ def progress_bin(progress: Column, length: Column, bins: int) -> Column:
 
 
 def cutoff_whole_episode(frames: DataFrame, n: int) -> DataFrame:
-    """Rows of all episodes up to the one that holds the n-th valid row, tails included."""
+    """Rows of all episodes up to the one that holds the n-th valid row, tails included.
+
+    The kept episodes are a prefix of the episode order, so the rows are only filtered.
+    """
     per_episode = frames.groupBy("episode_index").agg(F.sum("valid").alias("n_valid"))
     coarse = F.floor(F.col("episode_index") / COARSE_EPISODES)
     kept = running_before(per_episode, ["episode_index"], coarse, {"n_valid": F.col("n_valid")})
-    kept = kept.where(F.col("n_valid_before") < n).select("episode_index")
-    return frames.join(kept, "episode_index", "left_semi")
+    last = kept.where(F.col("n_valid_before") < n).agg(F.max("episode_index")).scalar()
+    return frames.where(F.col("episode_index") <= last)
 
 
 def cutoff_first_valid(frames: DataFrame, n: int, chunk: int = CHUNK_FRAMES) -> DataFrame:
@@ -238,8 +242,8 @@ def select_episodes(frames: DataFrame, episodes: DataFrame | None) -> DataFrame:
     """Rows of the listed episodes; no list means all rows."""
     if episodes is None:
         return frames
-    return frames.join(episodes.select("episode_index"), "episode_index", "left_semi")
+    return join_by_episode(frames, episodes.select("episode_index"), "left_semi")
 
 
 def except_episodes(frames: DataFrame, episodes: DataFrame) -> DataFrame:
-    return frames.join(episodes.select("episode_index"), "episode_index", "left_anti")
+    return join_by_episode(frames, episodes.select("episode_index"), "left_anti")

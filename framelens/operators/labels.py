@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelens.operators.ordering import join_by_episode
+
 
 def scatter_labels(frames: DataFrame, labels: DataFrame, fills: dict[str, Column], valid: str = "valid") -> DataFrame:
     """Full-length table: label rows by ``idx``, the fill value and valid = 0 elsewhere."""
@@ -88,10 +90,10 @@ def cast_to_plan(df: DataFrame, plan: dict[str, tuple[str, int]]) -> DataFrame:
 def override_by_episode(frames: DataFrame, groups: DataFrame, base: dict[str, Column]) -> DataFrame:
     """Spec columns of the group that lists the row's episode, else the base spec.
 
-    ``groups`` has one row per (group, episode); the join strategy follows its size.
+    ``groups`` has one row per listed episode.
     """
     listed = groups.select("episode_index", F.lit(True).alias("_listed"), *base)
-    joined = frames.join(listed, "episode_index", "left")
+    joined = join_by_episode(frames, listed, "left")
     for name, value in base.items():
         joined = joined.withColumn(name, F.when(F.col("_listed"), F.col(name)).otherwise(value))
     return joined.drop("_listed")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions import tensors
+from framelens.operators.ordering import sized
 from framelens.operators.sampling import episode_split, fit_sample, row_split
 from framelens.operators.scores import probe_scores, union_probes
 from framelens.session import written
@@ -77,21 +78,33 @@ def principal_plane(
 ) -> DataFrame:
     """Two principal components of a sample: x, y, usage_count and its log10.
 
-    Each component points to the side of its largest loading.
+    ``usage`` names the id column whose usage colours the sample; the counts are looked up
+    for the drawn rows only. Each component points to the side of its largest loading.
     """
     fit_on = _fit_rows(rows.select(key, feature), fit_rows, key, f"{seed}-fit").select(array_to_vector(feature).alias("_v"))
     model = PCA(k=2, inputCol="_v", outputCol="_pc").fit(fit_on)
     loadings = model.pc.toArray()
     signs = np.sign(loadings[np.abs(loadings).argmax(0), [0, 1]])
     mean = fit_on.agg(Summarizer.mean(F.col("_v")).alias("m")).select(vector_to_array("m")).scalar()
-    drawn = fit_sample(rows, shown, key, f"{seed}-shown").withColumn("_m", mean)
-    centred = drawn.withColumn("_v", array_to_vector(tensors.difference(F.col(feature), F.col("_m"))))
+    drawn = _fit_rows(rows.select(key, feature), shown, key, f"{seed}-shown")
+    if usage is not None:
+        drawn = _with_usage(rows, drawn, usage, key)
+    centred = drawn.withColumn("_m", mean).withColumn("_v", array_to_vector(tensors.difference(F.col(feature), F.col("_m"))))
     pc = vector_to_array("_pc")
     out = model.transform(centred).withColumn("x", pc[0] * float(signs[0])).withColumn("y", pc[1] * float(signs[1]))
-    count = F.lit(1).cast("bigint") if usage is None else F.col(usage)
+    count = F.lit(1).cast("bigint") if usage is None else F.col("_usage")
     return out.select(key, "x", "y", count.alias("usage_count"), F.log10(count).alias("log10_usage_count"))
 
 
+def _with_usage(rows: DataFrame, drawn: DataFrame, ids: str, key: str) -> DataFrame:
+    """``_usage`` of the drawn rows. Only their ids and keys are broadcast, if they are few."""
+    n = drawn.count()
+    named = written(rows.sparkSession, rows.select(key, ids).join(sized(drawn.select(key), n), key, "left_semi"))
+    counts = rows.groupBy(ids).agg(F.count("*").alias("_usage"))
+    used = counts.join(sized(named, n), ids).select(key, "_usage")
+    return drawn.join(used, key)
+
+
 # ---- probes --------------------------------------------------------------------------------
 
 
@@ -229,10 +242,14 @@ def fit_probe(
 def run_probes(
     rows: DataFrame, features: dict[str, str], targets: dict[str, str], *, n: int = 100_000, test_share: float = 0.2,
     split_mode: str = "episode", models: tuple[str, ...] = ("ridge", "relu"), alpha: float = 1.0, seed: int = 0,
-    key: str = "idx",
+    key: str = "idx", wide: DataFrame | None = None,
 ) -> DataFrame:
-    """Split once, fit every model on every available feature set, and stack the scores."""
-    available = {name: c for name, c in features.items() if c in rows.columns}
+    """Split once, fit every model on every available feature set, and stack the scores.
+
+    ``wide`` may hold large feature columns by key; they are read for the drawn rows only.
+    """
+    columns = [*rows.columns, *(wide.columns if wide is not None else [])]
+    available = {name: c for name, c in features.items() if c in columns}
     if not available:
         raise ValueError("a probe needs at least one feature set")
     if split_mode == "row":
@@ -241,7 +258,11 @@ def run_probes(
         split = episode_split(rows, n, test_share, seed)
     else:
         raise ValueError(f"unsupported split {split_mode!r}")
-    split = written(rows.sparkSession, split.select("side", *available.values(), *targets.values()))
+    own = [c for c in available.values() if c in rows.columns]
+    split = written(rows.sparkSession, split.select(key, "side", *own, *targets.values()))
+    if wide is not None:
+        added = [c for c in available.values() if c not in own]
+        split = written(rows.sparkSession, wide.select(key, *added).join(sized(split, split.count()), key))
     return union_probes(*[
         fit_probe(split, name, column, targets, split_mode, model, alpha, seed=seed)
         for model in models for name, column in available.items()

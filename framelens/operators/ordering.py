@@ -18,6 +18,7 @@ CHUNK_FRAMES = 65536
 COARSE_EPISODES = 4096
 HOT_SHARE = 1000
 SALTS = 64
+EPISODE_SALTS = 16
 BROADCAST_ROWS = 100_000
 
 
@@ -185,3 +186,20 @@ def lookup_counted(df: DataFrame, table: DataFrame, key: str, weight: str, row_k
     rows = df.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
     spread = table.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return rows.join(spread, [key, "_salt"]).drop("_salt")
+
+
+def join_by_episode(rows: DataFrame, episodes: DataFrame, how: str, spread_by: str = "frame_index") -> DataFrame:
+    """Join rows with a table of one row per episode, without one task per long episode.
+
+    The frames of an episode spread over 16 salts, and the narrow episode table is copied to
+    each of them; an episode has many more frames than that.
+    """
+    column = spread_by if spread_by in rows.columns else "idx"
+    salted = rows.withColumn("_salt", F.pmod(F.col(column), F.lit(EPISODE_SALTS)).cast("int"))
+    copies = episodes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(EPISODE_SALTS - 1))))
+    return salted.join(copies, ["episode_index", "_salt"], how).drop("_salt")
+
+
+def sized(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table whose rows were counted, if they are few; else let Spark shuffle."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions import fixed
-from framelens.operators.ordering import BROADCAST_ROWS, attach
+from framelens.operators.ordering import attach, sized
 from framelens.session import written
 
 CELL_ROWS = 16_000_000
@@ -51,7 +51,7 @@ def exact_quantiles(
     located = base.withColumn("_c", zero)
     if n_hot:
         hot = _split(spark, base, hot, keyed, large, bins)
-        hot_keys = _sized(span.where(large).select(*keyed), n_hot)
+        hot_keys = sized(span.where(large).select(*keyed), n_hot)
         located = base.join(hot_keys, keyed, "left_anti").withColumn("_c", zero).unionByName(
             _locate(base, hot, keyed, n_hot).select(*keyed, "_v", "_c")
         )
@@ -73,11 +73,6 @@ def exact_quantiles(
     return joined.select(*keys, *[_interpolated(p).alias(name) for name, p in probs.items()])
 
 
-def _sized(table: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table whose rows were counted, if they are few; else let Spark shuffle."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
 def _split(spark, base: DataFrame, cells: DataFrame, keys: list[str], large: Column, bins: int) -> DataFrame:
     """Cut large cells into bins until none is left."""
     while True:
@@ -93,7 +88,7 @@ def _locate(base: DataFrame, cells: DataFrame, keys: list[str], rows: int) -> Da
     """Rows that lie in a cell, with its number; a key has at most two cells per probability."""
     per_key = cells.groupBy(*keys).agg(F.collect_list(F.struct("_c", "_lo", "_hi")).alias("_cells"))
     hit = F.get(F.filter("_cells", lambda c: (F.col("_v") >= c["_lo"]) & (F.col("_v") <= c["_hi"])), F.lit(0))
-    found = base.join(_sized(per_key, rows), keys).withColumn("_cell", hit).where(F.col("_cell").isNotNull())
+    found = base.join(sized(per_key, rows), keys).withColumn("_cell", hit).where(F.col("_cell").isNotNull())
     return found.select(*keys, "_v", "_cell._c", "_cell._lo", "_cell._hi")
 
 

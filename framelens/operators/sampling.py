@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions.hashing import key_slice, random_key
-from framelens.operators.ordering import random_ranks, running_before
+from framelens.operators.ordering import join_by_episode, random_ranks, running_before
 
 
 def sample_rows(rows: DataFrame, n: int, key: str, seed: int | str) -> DataFrame:
@@ -59,12 +59,9 @@ def split_episodes(episodes: DataFrame, test_share: float, seed: int | str) -> D
 
 
 def episode_split(rows: DataFrame, n: int, test_share: float, seed: int) -> DataFrame:
-    """Rows of a budget of episodes with ``side``; no episode is on both sides.
-
-    The side of an episode is joined to its rows; AQE splits the rows of a huge episode.
-    """
+    """Rows of a budget of episodes with ``side``; no episode is on both sides."""
     chosen = episodes_to_budget(rows, n, seed)
-    return rows.join(split_episodes(chosen, test_share, f"{seed}-split"), "episode_index")
+    return join_by_episode(rows, split_episodes(chosen, test_share, f"{seed}-split"), "inner")
 
 
 def fit_sample(rows: DataFrame, n: int | None, key: str, seed: int | str) -> DataFrame:

@@ -51,8 +51,12 @@ class LatentAnalysis:
 
 
 def valid_frame_table(frames: DataFrame, p: LatentAnalysis) -> DataFrame:
-    """One row per valid frame: context, both action targets and the labels of the frame."""
-    rows = fr.future_action_mean(frames, p.future_frames, p.action_dim)
+    """One narrow row per valid frame: context, both action targets, ids and their bucket.
+
+    The label tensors stay in the dataset and are read from there.
+    """
+    narrow = frames.drop("continuous", "codebook_vectors")
+    rows = fr.future_action_mean(narrow, p.future_frames, p.action_dim)
     progress = fr.progress_context(frames).select("idx", "progress", "valid_len")
     if "ids" in frames.columns:
         rows = bk.assign_sequence_buckets(rows)
@@ -69,6 +73,7 @@ def latent_analysis(frames: DataFrame, out: str, p: LatentAnalysis, manifest: di
     spark = frames.sparkSession
     has_ids, has_codes = "ids" in frames.columns, "codebook_vectors" in frames.columns
     valid = written(spark, valid_frame_table(frames, p))
+    labels = fr.valid_rows(frames)
     slots = tensors.reshape(F.col("continuous"), p.slots)
     tables: dict[str, DataFrame] = {
         "valid_counts": fr.valid_counts(frames),
@@ -78,16 +83,15 @@ def latent_analysis(frames: DataFrame, out: str, p: LatentAnalysis, manifest: di
             .select("t.target", "t.x"), F.col("x"), ["target"]),
     }
     for name in ["continuous", *(["codebook_vectors"] if has_codes else [])]:
-        tables[f"{name}_value_summary"] = st.numeric_summary(valid, F.col(name))
-        exact = st.unique_rows(valid, F.col(name)).withColumn("kind", F.lit("exact"))
-        rounded = st.unique_rows(valid, tensors.round_elements(F.col(name), p.rounded_decimals)).withColumn("kind", F.lit("rounded"))
+        tables[f"{name}_value_summary"] = st.numeric_summary(labels, F.col(name))
+        exact = st.unique_rows(labels, F.col(name)).withColumn("kind", F.lit("exact"))
+        rounded = st.unique_rows(labels, tensors.round_elements(F.col(name), p.rounded_decimals)).withColumn("kind", F.lit("rounded"))
         tables[f"{name}_unique_rows"] = exact.unionByName(rounded)
-        tables[f"{name}_value_histogram"] = st.histogram(valid.select(F.explode(name).alias("x")), [], "x", 120)
-        usage = st.usage_of_rows(valid.select("idx", "ids", name)) if has_ids else valid.select("idx", name)
+        tables[f"{name}_value_histogram"] = st.histogram(labels.select(F.explode(name).alias("x")), [], "x", 120)
         tables[f"{name}_pca_sample"] = md.principal_plane(
-            usage, name, "usage_count" if has_ids else None, "idx", p.fit_rows, p.shown_rows, p.seed)
-    tables["continuous_slot_norm_summary"] = st.slot_norm_summary(valid, slots)
-    norms = valid.select(F.posexplode(tensors.slot_norms(slots)).alias("slot", "x"))
+            labels, name, "ids" if has_ids else None, "idx", p.fit_rows, p.shown_rows, p.seed)
+    tables["continuous_slot_norm_summary"] = st.slot_norm_summary(labels, slots)
+    norms = labels.select(F.posexplode(tensors.slot_norms(slots)).alias("slot", "x"))
     tables["continuous_slot_norm_histogram"] = st.histogram(norms, ["slot"], "x", 100)
     if has_ids:
         tables["id_sequence_counts"] = st.sequence_counts(valid).orderBy(F.desc("count"), "sequence")
@@ -97,11 +101,11 @@ def latent_analysis(frames: DataFrame, out: str, p: LatentAnalysis, manifest: di
         information = written(spark, inf.action_information(valid, TARGETS, p.action_bins))
         tables["id_action_mutual_information"] = information.orderBy(F.desc("mi"), F.desc("nmi"))
 
-    tables.update(_bucket_reports(valid, p, has_ids))
+    tables.update(_bucket_reports(valid, labels, p, has_ids))
     features = {"ids_onehot": "ids", "codebook_vectors": "codebook_vectors", "continuous": "continuous"}
     probes = written(spark, md.run_probes(
         valid, features, TARGETS, n=p.probe_rows, test_share=p.test_share, split_mode=p.probe_split, models=p.probe_models,
-        alpha=p.ridge_alpha, seed=p.seed))
+        alpha=p.ridge_alpha, seed=p.seed, wide=labels))
     tables["action_probe_scores"] = probes
     tables["action_probe_summary"] = sc.probe_summary(probes).orderBy("probe_model", F.desc("mean_r2"), "mean_mse")
     tables["action_probe_best"] = sc.best_probes(sc.probe_summary(probes))
@@ -110,7 +114,7 @@ def latent_analysis(frames: DataFrame, out: str, p: LatentAnalysis, manifest: di
     return _register(stored, out, manifest, registry, _latent_headline(stored))
 
 
-def _bucket_reports(valid: DataFrame, p: LatentAnalysis, has_ids: bool) -> dict[str, DataFrame]:
+def _bucket_reports(valid: DataFrame, labels: DataFrame, p: LatentAnalysis, has_ids: bool) -> dict[str, DataFrame]:
     """Bucket, context and consistency reports; all bucketings and targets run in one job each."""
     spark = valid.sparkSession
     latent, tables = [], {}
@@ -118,7 +122,7 @@ def _bucket_reports(valid: DataFrame, p: LatentAnalysis, has_ids: bool) -> dict[
         latent.append(valid.select("idx", F.lit("id_sequence").alias("kind"), "bucket"))
     if p.bucket_clusters > 0:
         assigned, about = md.kmeans_buckets(
-            valid.drop("bucket", "bucket_label"), "continuous", p.bucket_clusters, p.fit_rows, "idx", p.seed, "cluster_")
+            labels.select("idx", "continuous"), "continuous", p.bucket_clusters, p.fit_rows, "idx", p.seed, "cluster_")
         latent.append(assigned.select("idx", F.lit("continuous_kmeans").alias("kind"), "bucket"))
         tables["continuous_kmeans_fit"] = about
     if not latent:

@@ -10,7 +10,6 @@ from framelens.operators import frames as fr
 from framelens.operators import models as md
 from framelens.operators import sampling as sp
 from framelens.operators import scores as sc
-from framelens.operators import stats as st
 from framelens.operators.ordering import attach
 from framelens.queries.registry import query, r6, rounded
 from framelens.session import written
@@ -120,9 +119,8 @@ def one_hot_ids(spark, sf):
         "idx", F.col("column").cast("bigint").alias("column"))
 
 
-def probe_rows(spark, sf):
-    labels = T.labeled_frames(spark, sf).select("idx", "continuous", "codebook_vectors")
-    return T.valid_frames(spark, sf).join(labels, "idx")
+def probes(spark, sf, features, **settings):
+    return md.run_probes(T.valid_frames(spark, sf), features, TARGETS, wide=T.labeled_frames(spark, sf), **settings)
 
 
 FEATURES = {"ids_onehot": "ids", "codebook_vectors": "codebook_vectors", "continuous": "continuous"}
@@ -130,17 +128,17 @@ FEATURES = {"ids_onehot": "ids", "codebook_vectors": "codebook_vectors", "contin
 
 @query("ridge_probe")
 def ridge_probe(spark, sf):
-    return md.run_probes(probe_rows(spark, sf), FEATURES, TARGETS, models=("ridge",))
+    return probes(spark, sf, FEATURES, models=("ridge",))
 
 
 @query("nonlinear_probe")
 def nonlinear_probe(spark, sf):
-    return md.run_probes(probe_rows(spark, sf), {"continuous": "continuous"}, TARGETS, models=("relu",))
+    return probes(spark, sf, {"continuous": "continuous"}, models=("relu",))
 
 
 @query("run_probes")
 def run_probes(spark, sf):
-    return md.run_probes(probe_rows(spark, sf), FEATURES, TARGETS, split_mode="row")
+    return probes(spark, sf, FEATURES, split_mode="row")
 
 
 @query("ridge_probe_two_features", BUDGET_SQL + """
@@ -239,5 +237,5 @@ def best_probe_per_model(spark, sf):
 
 @query("pca_scatter_table")
 def pca_scatter_table(spark, sf):
-    rows = st.usage_of_rows(fr.valid_rows(T.labeled_frames(spark, sf)).select("idx", "ids", "continuous"))
-    return md.principal_plane(rows, "continuous", "usage_count", "idx", 50_000, 100_000, 0)
+    rows = fr.valid_rows(T.labeled_frames(spark, sf)).select("idx", "ids", "continuous")
+    return md.principal_plane(rows, "continuous", "ids", "idx", 50_000, 100_000, 0)

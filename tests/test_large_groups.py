@@ -110,3 +110,19 @@ def test_random_ranks_do_not_depend_on_partitions(spark):
     assert a.exceptAll(b).count() == 0 and sorted(r["rank"] for r in a.collect()) == list(range(1, 501))
     kept = random_ranks(spark.range(500).toDF("k"), "k", 1, limit=lambda n: F.lit(37))
     assert kept.count() == 37 and kept.exceptAll(a.where("rank <= 37")).count() == 0
+
+
+def test_code_vectors_of_a_hot_code(spark):
+    from framelens.operators.codebook import with_code_vectors
+
+    rows = spark.createDataFrame([(i, 0 if i < 400 else i % 7) for i in range(600)], "idx bigint, code_id bigint")
+    codes = spark.createDataFrame([(c, [float(c)]) for c in range(7)], "code_id bigint, code array<double>")
+    got = with_code_vectors(rows, codes, max_numbers=0)
+    assert got.count() == 600 and got.where(F.col("code")[0] != F.col("code_id")).count() == 0
+    assert got.select(sorted(got.columns)).exceptAll(with_code_vectors(rows, codes).select(sorted(got.columns))).count() == 0
+
+
+def test_episode_joins(spark, hot):
+    chosen = spark.createDataFrame([(4,), (2,)], "episode_index bigint")
+    assert fr.select_episodes(hot, chosen).count() == 61 and fr.except_episodes(hot, chosen).count() == 21
+    assert fr.select_episodes(hot, None).count() == 82
