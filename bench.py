@@ -1,7 +1,7 @@
 """Wall time of the headline queries; prints one JSON line.
 
 ``BENCH_SF_DIR`` names the table folder, ``BENCH_CPUS`` the local cores, ``BENCH_RUNS`` the
-timed runs per query (the median counts, after one warm run), ``BENCH_QUERIES=all`` widens
+timed runs per query (the median counts, after one warm run; 1 by default), ``BENCH_QUERIES=all`` widens
 the list to every registered query. Results are fully computed and then thrown away.
 The two ``prepare_*`` entries time the stored tables that the other queries read.
 """
@@ -30,7 +30,7 @@ FITS = ["kmeans_latent_buckets", "ridge_probe", "nonlinear_probe", "pca_scatter_
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
 
     from framelens.queries import registered
     from framelens.session import local_session

@@ -1,6 +1,6 @@
 """Run a registered query in Spark and its SQL in DuckDB and compare the results.
 
-``python -m tests.compare [sf] [name ...]`` prints one line per query.
+``python -m tests.compare [sf or folder] [name ...]`` prints one line per query.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def main(argv: list[str]) -> int:
 
     sf = argv[0] if argv else "0.001"
     names = argv[1:]
-    sf_dir = f"/root/testdata/sf{sf}"
+    sf_dir = sf if "/" in sf else f"/root/testdata/sf{sf}"
     spark = local_session()
     con = duck(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()
