@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from framelens.functions import fixed, tensors, text
+from framelens.functions import fixed, text
 from framelens.operators import catalog as ct
 from framelens.operators import frames as fr
 from framelens.operators import labelers as lab

@@ -11,7 +11,6 @@ from framelens.operators import codebook as cb
 from framelens.operators import frames as fr
 from framelens.operators import labelers as lab
 from framelens.operators import scores as sc
-from framelens.operators import stats as st
 from framelens.queries.registry import SUMMARY_COLUMNS, query, r6, rounded, summary_sql
 from framelens.sources import tables as T
 from framelens.sources.prepared import prepared

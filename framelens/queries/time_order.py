@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from framelens.functions import tensors
 from framelens.operators import frames as fr
 from framelens.operators import labels as lb
-from framelens.operators.ordering import positions
 from framelens.queries.registry import query, r6
 from framelens.sources import tables as T
 
