@@ -42,3 +42,40 @@ def near_duplicates(rows: list[tuple]) -> dict:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def byte_bpe(text: str | None) -> tuple[int, str, str]:
+    """n_tokens, SHA-256 of ids and of the text, by the reference library."""
+    import base64
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers as P
+    import tiktoken
+
+    if "multi" not in _ENCODINGS:
+        with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _ENCODINGS["multi"] = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = _ENCODINGS["multi"].encode_ordinary(text or "")
+    return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+
+_ENCODINGS: dict = {}
+
+
+def token_rows(rows: list[tuple]) -> list[tuple]:
+    """doc_id, start, n_tokens, crc32 in order of ids, whole texts through the library."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    out, start = [], 0
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        ids = [*model.encode(text or "", add_special_tokens=False).ids, 2]
+        out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
