@@ -38,7 +38,7 @@ def masked(tokens: Column) -> Column:
 def document_lines(docs: DataFrame, id: str, text: str, depth: int, min_tokens: int) -> DataFrame:
     """A row per line that can belong to a template: document, number, leaf and masked line."""
     value = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(F.col(id).alias("_id"), F.xxhash64(value).alias("_th"), F.posexplode(F.split(value, "\n")).alias("line_no", "_raw"))
+    lines = docs.select(F.col(id).alias("_id"), F.xxhash64(value).alias("_th"), F.posexplode_outer(F.split(value, "\n")).alias("line_no", "_raw"))
     lines = lines.withColumn("_tokens", common.words(F.col("_raw"))).where(F.size("_tokens") >= min_tokens)
     leaf = F.concat_ws(" ", F.size("_tokens").cast("string"), F.array_join(masked(F.slice("_tokens", 1, depth)), " "))
     line = F.when(F.col("_raw").rlike("[0-9]"), F.array_join(masked(F.col("_tokens")), " ")).otherwise(F.array_join("_tokens", " "))
@@ -63,7 +63,7 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min
     distinct = live.groupBy("leaf", "line", *document).agg(F.count(F.lit(1)).alias("occ")).groupBy("leaf", "line").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.sum("occ").alias("occ"))
     distinct = common.stored(distinct)
-    tokens = distinct.select("leaf", "line", "n_pairs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    tokens = distinct.select("leaf", "line", "n_pairs", F.posexplode_outer(F.split("line", " ")).alias("pos", "token"))
     frequent = tokens.where(F.col("pos") >= depth).groupBy("leaf", "pos", "token").agg(
         F.sum("n_pairs").alias("support"), F.count(F.lit(1)).alias("n")).where(F.col("support") >= min_docs)
     frequent = common.stored(frequent.select("leaf", "pos", "token", "n", F.lit(True).alias("constant")))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("op1", "op3", "op5", "op8", "op10")
+MODULES = ("op1", "op3", "op5", "op8", "op9", "op10")
 
 
 def registered():
