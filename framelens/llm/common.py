@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.session import shared_folder
@@ -10,7 +10,6 @@ from framelens.session import shared_folder
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-HOT_SHARE = 1000  # a key with more than 1/1000 of all rows is hot, so there are fewer than 1000
 BROADCAST_BYTES = 32 << 20
 
 
@@ -38,10 +37,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def stored(df: DataFrame, **options: str) -> DataFrame:
     """The table, written to the shared folder and read back: cuts the lineage for good."""
+    return stored_counted(df, **options)[0]
+
+
+def stored_counted(df: DataFrame, **options: str) -> tuple[DataFrame, int]:
+    """As ``stored``, and the number of rows, counted while writing."""
     spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, seen = shared_folder(spark), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.options(**{"compression": "zstd"} | options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
 def _all(conditions) -> Column:
@@ -51,29 +55,14 @@ def _all(conditions) -> Column:
     return out
 
 
-def lookup(rows: DataFrame, values: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
-    """Join every row to the one row of ``values`` with its key (null equals null).
+def lookup(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join every row to the one row of ``values`` with its key, with both sides shuffled.
 
-    ``weight`` is the number of rows that a key of ``values`` has, ``total`` their sum. Keys
-    above 1/1000 of the total, fewer than 1000 whatever the size of the data, are looked up in
-    a broadcast; their rows then spread over all tasks of the shuffle join for the other keys.
-    ``values`` is read twice, so pass a stored table. Its weight column is not returned.
+    ``values`` has unique keys that are not null, and only the columns that are wanted. The key
+    of the rows may be hot: adaptive execution splits its partition, as each key meets one row.
+    Callers store the result before they group by the same key, or Spark would not split it.
     """
-    rest = [c for c in values.columns if c not in keys and c != weight]
-    is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
-    names = {c: f"_hot_{c}" for c in [*keys, *rest]}
-    hot = values.where(is_hot).select(*[F.col(c).alias(n) for c, n in names.items()], F.lit(True).alias("_hot"))
-    cold = values.where(~is_hot).select(*[F.col(c).alias(f"_cold_{c}") for c in [*keys, *rest]],
-                                        F.lit(0).alias("_cold_salt"), F.lit(True).alias("_cold"))
-    found = rows.join(F.broadcast(hot), _all(F.col(k).eqNullSafe(F.col(names[k])) for k in keys), "left")
-    salt = F.when(F.col("_hot"), F.lit(1) + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int")).otherwise(F.lit(0))
-    found = found.withColumn("_salt", salt)
-    match = _all([F.col("_salt") == F.col("_cold_salt"), *(F.col(k).eqNullSafe(F.col(f"_cold_{k}")) for k in keys)])
-    found = found.join(cold, match, "left")
-    if how == "inner":
-        found = found.where("_hot or _cold")
-    picked = [F.when(F.col("_hot"), F.col(names[c])).otherwise(F.col(f"_cold_{c}")).alias(c) for c in rest]
-    return found.select(*[F.col(c) for c in rows.columns], *picked)
+    return rows.join(values, keys, how)
 
 
 def row_bytes(df: DataFrame) -> int:
@@ -81,13 +70,13 @@ def row_bytes(df: DataFrame) -> int:
     return 16 + sum(24 if t in ("bigint", "int", "boolean", "double") else 64 for _, t in df.dtypes)
 
 
-def join_checked(rows: DataFrame, values: DataFrame, keys: list[str], how: str) -> DataFrame:
+def join_checked(rows: DataFrame, values: DataFrame, keys: list[str], how: str, n_values: int | None = None) -> DataFrame:
     """Join with a stored table of unique keys: broadcast while its counted rows are small.
 
     Beyond the bound both sides are shuffled; Spark's handling of skewed joins splits the
-    rows of a hot key.
+    rows of a hot key. Null keys are equal.
     """
-    small = values.count() * row_bytes(values) <= BROADCAST_BYTES
+    small = (values.count() if n_values is None else n_values) * row_bytes(values) <= BROADCAST_BYTES
     other = values.select(*[F.col(c).alias(f"_v_{c}") if c in keys else F.col(c) for c in values.columns])
     on = _all(F.col(k).eqNullSafe(F.col(f"_v_{k}")) for k in keys)
     out = rows.join(F.broadcast(other) if small else other, on, how)

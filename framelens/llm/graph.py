@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 import pyarrow as pa
 
@@ -46,36 +46,32 @@ def _local_forest(batches):
 def components(links: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` (binary) -> every linked node with the smallest node it can reach.
 
-    Rounds of large and small stars hook nodes to the smallest neighbour until nothing moves;
-    each is two aggregations with map-side minima, and its result is stored, so a lost executor
-    repeats one round at most. Neighbours of one node are never gathered in one place.
+    Rounds of large and small stars hook nodes to the smallest neighbour until nothing moves.
+    Each round is stored, so a lost executor repeats one round at most. Minima are taken before
+    the shuffle and the neighbours of one node are never gathered in one place.
     """
     edges = common.stored(links.select("a", "b").mapInArrow(_local_forest, "a binary, b binary"))
     before = None
     while True:
-        large = _star(edges, larger_only=True)
-        small = common.stored(_star(large, larger_only=False).distinct())
-        state = small.agg(F.count(F.lit(1)), F.sum(F.crc32(F.concat("a", "b")))).first()
-        if tuple(state) == before:
+        large = common.stored(_large_star(edges))
+        seen = Observation()
+        small = common.stored(_small_star(large).distinct().observe(
+            seen, F.count(F.lit(1)).alias("n"), F.sum(F.crc32(F.concat("a", "b"))).alias("sum")))
+        state = (seen.get["n"], seen.get["sum"])
+        if state == before:
             return small.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before, edges = tuple(state), small
+        before, edges = state, small
 
 
-def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """Edges as (node ``a``, smaller node ``b``); one star round.
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is linked to the smallest node around it."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return common.lookup(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
-    Large star: every larger neighbour of a node is linked to the smallest node around it.
-    Small star: every smaller neighbour of a node, and the node, are linked to the smallest.
-    """
-    if larger_only:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    least = common.stored(least.withColumn("m", F.least("a", "m")))
-    total = least.agg(F.sum("n")).first()[0] or 0
-    joined = common.lookup(both, least, ["a"], "n", total, "inner")
-    if larger_only:
-        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    hooked = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return hooked.union(least.where("m < a").select("a", F.col("m").alias("b")))
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    hooked = common.lookup(edges, least, ["a"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return hooked.union(least.select("a", F.col("m").alias("b")))

@@ -9,8 +9,8 @@ at least ``min_docs`` documents recur: their lines stay in the first document (s
 are dropped from all others. Lines with fewer than ``min_tokens`` tokens always stay.
 
 No group is handled by one task: leaves, lines, tokens and templates are counted before the
-shuffle, and rows look counts up with hot keys broadcast. The outcome does not depend on the
-order of lines.
+shuffle, and rows look the counts up, in a broadcast of checked size or in a join whose hot
+partitions are split. The outcome does not depend on the order of lines.
 
 Defined results: a document is a pair of id and text, so repeated rows are one document and null
 ids are allowed (they come last); a null text is an empty one; an empty line is a line; a line
@@ -45,29 +45,23 @@ def document_lines(docs: DataFrame, id: str, text: str, depth: int, min_tokens:
     return lines.select("_id", "_th", "line_no", leaf.alias("leaf"), line.alias("line"))
 
 
-def _sum(df: DataFrame, column: str) -> int:
-    return df.agg(F.sum(column)).first()[0] or 0
-
-
 def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH,
                     min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE) -> DataFrame:
     """Per document (``_id``, ``_th``) the numbers of the lines to drop; documents without any are absent."""
     lines = document_lines(docs, id, text, depth, min_tokens)
     document = ["_id", "_th"]
-    leaves = lines.groupBy("leaf", *document).agg(F.count(F.lit(1)).alias("occ")).groupBy("leaf").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("occ").alias("occ")).where(F.col("n_docs") >= min_docs)
-    leaves = common.stored(leaves.select("leaf", "occ", F.lit(True).alias("live")))
-    live = common.lookup(lines, leaves, ["leaf"], "occ", _sum(leaves, "occ"), "inner").drop("live")
-    live = common.stored(live)
-
-    distinct = live.groupBy("leaf", "line", *document).agg(F.count(F.lit(1)).alias("occ")).groupBy("leaf", "line").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.sum("occ").alias("occ"))
+    leaves = lines.select("leaf", *document).distinct().groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    leaves, n_leaves = common.stored_counted(leaves.select("leaf"))
+    live = common.stored(common.join_checked(lines, leaves, ["leaf"], "left_semi", n_leaves))
+
+    distinct = live.select("leaf", "line", *document).distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_pairs"))
     distinct = common.stored(distinct)
     tokens = distinct.select("leaf", "line", "n_pairs", F.posexplode_outer(F.split("line", " ")).alias("pos", "token"))
     frequent = tokens.where(F.col("pos") >= depth).groupBy("leaf", "pos", "token").agg(
-        F.sum("n_pairs").alias("support"), F.count(F.lit(1)).alias("n")).where(F.col("support") >= min_docs)
-    frequent = common.stored(frequent.select("leaf", "pos", "token", "n", F.lit(True).alias("constant")))
-    seen = common.lookup(tokens, frequent, ["leaf", "pos", "token"], "n", _sum(frequent, "n"))
+        F.sum("n_pairs").alias("support")).where(F.col("support") >= min_docs)
+    frequent = frequent.select("leaf", "pos", "token", F.lit(True).alias("constant"))
+    seen = common.lookup(tokens, frequent, ["leaf", "pos", "token"])
     constant = (F.col("pos") < depth) | F.col("constant")
     token = F.when(constant, F.col("token")).otherwise(F.lit(VARIABLE))
     parts = seen.groupBy("leaf", "line").agg(
@@ -75,15 +69,15 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min
         F.avg(F.when(token == VARIABLE, 0.0).otherwise(1.0)).alias("share"))
     template = F.when(F.col("share") >= min_share, F.array_join(F.col("parts.t"), " ")).otherwise(F.col("line"))
     templates = parts.select("leaf", "line", template.alias("template"))
-    templates = common.stored(distinct.drop("n_pairs").join(templates, ["leaf", "line"]))
+    templates, n_templates = common.stored_counted(templates.select("leaf", "line", F.md5("template").alias("template")))
 
-    placed = common.lookup(live, templates, ["leaf", "line"], "occ", _sum(templates, "occ"), "inner")
-    placed = common.stored(placed.select(*document, "line_no", F.md5("template").alias("template")))
+    placed = common.join_checked(live, templates, ["leaf", "line"], "inner", n_templates)
+    placed = common.stored(placed.select(*document, "line_no", "template"))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"))
-    found = placed.groupBy("template", *document).agg(F.count(F.lit(1)).alias("occ")).groupBy("template").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("occ").alias("occ"), F.min(order).alias("first")).where(F.col("n_docs") >= min_docs)
-    found = common.stored(found.drop("n_docs"))
-    dropped = common.lookup(placed, found, ["template"], "occ", _sum(found, "occ"), "inner").where(~order.eqNullSafe(F.col("first")))
+    found = placed.select("template", *document).distinct().groupBy("template").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.min(order).alias("first")).where(F.col("n_docs") >= min_docs)
+    found, n_found = common.stored_counted(found.drop("n_docs"))
+    dropped = common.join_checked(placed, found, ["template"], "inner", n_found).where(~order.eqNullSafe(F.col("first")))
     return dropped.groupBy(*document).agg(F.collect_set("line_no").alias("_dropped"))
 
 

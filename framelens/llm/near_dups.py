@@ -171,10 +171,6 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         _confirmed, "a binary, b binary")
 
 
-def _close(n: str, m: str):
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
-
-
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``id``, ``th`` (hash of the text), ``n`` (set size) and ``component`` (an id)."""
     spark = docs.sparkSession
@@ -183,65 +179,78 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
     first = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     nodes = common.stored(rows.where("node is not null").groupBy("node").agg(
-        F.min(first).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")))
+        F.min(first).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
     members = nodes.select("node", "n", F.explode("bands").alias("h"))
-    salted = members.groupBy("h", F.pmod(F.xxhash64("node"), F.lit(64)).alias("s")).agg(
-        F.min(F.struct("node", "n")).alias("centre"), F.count(F.lit(1)).alias("members"))
-    buckets = common.stored(salted.groupBy("h").agg(F.min("centre").alias("centre"), F.sum("members").alias("members")).where("members > 1"))
-    total = buckets.agg(F.sum("members")).first()[0] or 0
-    members = common.stored(common.lookup(members, buckets, ["h"], "members", total, "inner"))
-
-    def candidates(found: DataFrame) -> DataFrame:
-        out = found.where((F.col("node") != F.col("centre.node")) & _close("n", "centre.n"))
-        return out.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
-
-    tried = common.stored(candidates(members))
-    links = common.stored(verified(tried, shingle_sets(keyed, nodes, tried)))
-    roots = components(links)
+    buckets = members.groupBy("h").agg(F.min(F.struct("node", "n")).alias("centre"), F.count(F.lit(1)).alias("members"))
+    members = common.stored(common.lookup(members, buckets.where("members > 1").drop("members"), ["h"], "inner"))
+
+    tried, n_tried = common.stored_counted(candidates(members))
+    if not n_tried:
+        return _result(rows, nodes, None)
+    sets = shingle_sets(keyed, nodes, members)
+    links, n_links = common.stored_counted(verified(tried, sets))
+    roots = components(links) if n_links else None
     turn = 0
     while True:
         turn += 1
-        placed = members.drop("centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = common.stored(placed.groupBy("h").agg(
-            F.count(F.lit(1)).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"),
-            F.min(F.struct(F.xxhash64(F.lit(turn), "h", "node").alias("luck"), "node", "n", "root")).alias("centre")).where("lo != hi").drop("lo", "hi"))
-        total = open_.agg(F.sum("members")).first()[0] or 0
-        if not total:
+        placed = members.drop("centre").withColumn("root", F.col("node"))
+        if roots is not None:
+            placed = members.drop("centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        centre = F.struct(F.xxhash64(F.lit(turn), "h", "node").alias("luck"), "node", "n", "root")
+        mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(centre).alias("centre"))
+        mixed, n_mixed = common.stored_counted(mixed.where("lo != hi").select("h", "centre"))
+        if not n_mixed:
+            break
+        unsure = common.lookup(placed, mixed, ["h"], "inner").where(F.col("root") != F.col("centre.root"))
+        untried, n_untried = common.stored_counted(candidates(unsure).join(tried, ["a", "b"], "left_anti"))
+        n_new = 0
+        if n_untried:
+            tried = tried.union(untried)
+            new, n_new = common.stored_counted(verified(untried, sets))
+        if n_new:
+            links = links.union(new)
+            roots = components(links)
+        elif turn > 1:
             break
-        unsure = common.lookup(placed, open_, ["h"], "members", total, "inner").where(F.col("root") != F.col("centre.root"))
-        fresh = common.stored(candidates(unsure).join(tried, ["a", "b"], "left_anti"))
-        new = common.stored(verified(fresh, shingle_sets(keyed, nodes, fresh)))
-        tried = tried.union(fresh)
-        if new.isEmpty():
-            if turn > 1:
-                break
-            continue
-        links = links.union(new)
-        roots = components(links)
-
-    least = nodes.join(roots, "node", "left").select("node", "copies", F.coalesce("root", "node").alias("root"), "first")
-    by_root = least.groupBy("root").agg(F.min("first").alias("best"))
-    of_node = common.stored(least.join(by_root, "root").select("node", "copies", F.col("best.id").alias("component"), F.col("best.th").alias("keeper"), F.lit(True).alias("linked")))
-    total = of_node.agg(F.sum("copies")).first()[0] or 0
-    out = common.lookup(rows.drop("bands"), of_node, ["node"], "copies", total)
-    return out.select("id", "th", "n", F.when(F.col("linked"), F.col("component")).otherwise(F.col("id")).alias("component"),
-                      F.when(F.col("linked"), F.col("keeper")).otherwise(F.col("th")).alias("keeper"))
-
-
-def shingle_sets(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Full shingle sets of the nodes in ``pairs``, from one document of each."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = common.stored(nodes.join(wanted, "node").select("node", F.col("first.id").alias("id"), F.col("first.th").alias("th")))
-    texts = common.join_checked(keyed, wanted, ["id", "th"], "inner").select("node", "text")
-    return common.stored(texts.mapInArrow(_set_rows, "node binary, items binary").dropDuplicates(["node"]))
+    return _result(rows, nodes, roots)
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Distinct pairs of a member of a bucket and its centre whose sizes allow the threshold."""
+    n, m = F.col("n"), F.col("centre.n")
+    close = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    return members.where((F.col("node") != F.col("centre.node")) & close).select(
+        F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
+
+
+def _result(rows: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Smallest id of every row's component; rows without shingles stand alone."""
+    placed = nodes.select("node", "first").withColumn("root", F.col("node"))
+    if roots is not None:
+        placed = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = placed.groupBy("root").agg(F.min("first").alias("best"))
+    of_node = common.stored(common.lookup(placed, best, ["root"]).select("node", "best"))
+    out = common.lookup(rows.drop("bands"), of_node, ["node"])
+    alone = F.col("best").isNull()
+    return out.select("id", "th", "n", F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("component"),
+                      F.when(alone, F.col("th")).otherwise(F.col("best.th")).alias("keeper"))
+
+
+def shingle_sets(keyed: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Full shingle sets of all nodes that share a bucket, from one document of each."""
+    wanted = nodes.select("node", F.col("first.id").alias("id"), F.col("first.th").alias("th")).join(members.select("node"), "node", "left_semi")
+    wanted, n_wanted = common.stored_counted(wanted)
+    texts = common.join_checked(keyed, wanted, ["id", "th"], "inner", n_wanted).select("node", "text")
+    sets = texts.mapInArrow(_set_rows, "node binary, items binary")
+    return common.stored(sets.groupBy("node").agg(F.first("items").alias("items")))  # repeated rows: once
 
 
 def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group (the smallest id), with its own columns only."""
     found = near_duplicates(docs, id, text)
-    gone = common.stored(found.where(~(F.col("id").eqNullSafe(F.col("component")) & (F.col("th") == F.col("keeper"))))
+    gone, n_gone = common.stored_counted(found.where(~(F.col("id").eqNullSafe(F.col("component")) & (F.col("th") == F.col("keeper"))))
                          .select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
     tag = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    out = common.join_checked(docs.withColumns({"_id": F.col(id).cast("long"), "_th": tag}), gone, ["_id", "_th"], "left_anti")
+    out = common.join_checked(docs.withColumns({"_id": F.col(id).cast("long"), "_th": tag}), gone, ["_id", "_th"], "left_anti", n_gone)
     return out.select(*docs.columns)
