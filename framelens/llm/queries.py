@@ -2,12 +2,15 @@
 
 from importlib import import_module
 
-MODULES = ("op1", "op3", "op5", "op8", "op9", "op10")
+MODULES = ("op1", "op2", "op3", "op4", "op5", "op7", "op8", "op9", "op10")
 
 
 def registered():
+    import corpus_pipeline
+
     for module in MODULES:
         import_module(f"framelens.llm.{module}")
     from framelens.llm.registry import QUERIES, SQL
 
-    return QUERIES, SQL
+    queries = {**QUERIES, "pipeline": corpus_pipeline.run}
+    return queries, SQL if corpus_pipeline.ORACLE_SQL is None else {**SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
