@@ -79,3 +79,24 @@ def token_rows(rows: list[tuple]) -> list[tuple]:
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out
+
+
+def suffix_dedup(rows: list[tuple], length: int = 50) -> dict:
+    """doc_id -> (n_bytes, n_removed, n_spans, SHA-256 of the rest), by a set of all strings."""
+    import hashlib
+
+    first: dict[bytes, int] = {}
+    data = sorted((i, (t or "").encode()) for i, t in rows)
+    for i, t in data:
+        for s in range(len(t) - length + 1):
+            first.setdefault(t[s : s + length], i)
+    out = {}
+    for i, t in data:
+        gone = bytearray(len(t))
+        for s in range(len(t) - length + 1):
+            if first[t[s : s + length]] < i:
+                gone[s : s + length] = b"\x01" * length
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        out[i] = (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
