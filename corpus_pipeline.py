@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of ids and of the text that they decode to."""
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs)))
+    return byte_bpe.digests(byte_bpe.encode(docs))
 
 
 STAGES = [

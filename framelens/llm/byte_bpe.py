@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 SPACE_CLASS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 BLOCK_BYTES = 4 << 20
 
 
@@ -38,127 +38,117 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank is found through a bitmap of three levels of 64 bits."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * (ranks // 64 + 1)
-        self.middle = [0] * (ranks // 4096 + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word, group = rank >> 6, rank >> 12
-        self.low[word] |= 1 << (rank & 63)
-        self.middle[group] |= 1 << (word & 63)
-        self.top |= 1 << group
-
-    def pop(self) -> tuple[int, int] | None:
-        """The leftmost position of the lowest rank."""
-        if not self.top:
-            return None
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[group]
-        word = (group << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= ~(1 << (rank & 63))
-            if not self.low[word]:
-                self.middle[group] &= ~(1 << (word & 63))
-                if not self.middle[group]:
-                    self.top &= ~(1 << group)
-        return rank, position
+class Pieces(dict):
+    """Encoded pieces of text, made when first asked for.
+
+    The dict holds the recent ones; when it is full it becomes the older generation, from which
+    pieces in use come back, so memory is bounded and frequent pieces are made once.
+    """
+
+    def __init__(self, make, size: int, lead: str = ""):
+        self.make, self.size, self.lead, self.older = make, size, lead, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.older.get(text)
+        if found is None:
+            found = self.make(self.lead + text)
+        if len(text) <= 64:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
+        return found
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        most = max(ranks.values()) + 1
+        self.low, self.middle = [0] * (most // 64 + 1), [0] * (most // 4096 + 1)  # all zero between calls
         spaced = pattern.replace("[^\\s", f"[^{SPACE_CLASS}").replace("\\S", f"[^{SPACE_CLASS}]").replace("\\s", f"[{SPACE_CLASS}]")
         self.split = regex.compile(spaced).findall
         self.unsafe = re.compile(f"[{SPACE_CLASS}] (?=[{SPACE_CLASS}]|\\Z)").search
         self.cut = re.compile(f"(?<=[^{SPACE_CLASS}])(?= [^{SPACE_CLASS}])").split
-        self.pieces: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.pretokens = Pieces(lambda word: np.array(self.merge(word.encode()), "<u4").tobytes(), REMEMBERED)
+        self.pieces = Pieces(lambda text: b"".join([self.pretokens[w] for w in self.split(text)]), REMEMBERED // 2, " ")
 
     def merge(self, piece: bytes) -> list[int]:
-        """Token ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        """Token ids of one pre-token, by a queue of its pairs.
+
+        ``buckets`` holds the positions of the pairs of each rank; bit r of ``low``, of 64-bit
+        words, marks a rank with entries, ``middle`` marks words of ``low`` and ``top`` words of
+        ``middle``, so the lowest rank is three times the first set bit.
+        """
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
-        n, queue = len(piece), self.queue
+        n, low, middle, top = len(piece), self.low, self.middle, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         current = [-1] * n  # rank of the pair that starts here; -1: none
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
-                current[i] = r
-                queue.push(r, i)
-        while (entry := queue.pop()) is not None:
-            rank, at = entry
-            if current[at] != rank:
-                continue  # stale: the pair here has changed
+        buckets: dict[int, list[int]] = {}
+        changed = zip(range(n - 1), range(2, n + 1))
+        while True:
+            for start, end in changed:
+                rank = rank_of(piece[start:end])
+                if rank is None:
+                    current[start] = -1
+                    continue
+                current[start] = rank
+                bucket = buckets.get(rank)
+                if bucket:
+                    heappush(bucket, start)
+                    continue
+                buckets[rank] = [start]
+                word, group = rank >> 6, rank >> 12
+                low[word] |= 1 << (rank & 63)
+                middle[group] |= 1 << (word & 63)
+                top |= 1 << group
+            at = -1
+            while top:
+                group = (top & -top).bit_length() - 1
+                bits = middle[group]
+                word = (group << 6) + (bits & -bits).bit_length() - 1
+                bits = low[word]
+                first = bits & -bits
+                rank = (word << 6) + first.bit_length() - 1
+                bucket = buckets[rank]
+                found = heappop(bucket) if len(bucket) > 1 else bucket.pop()
+                if not bucket:
+                    low[word] = bits ^ first
+                    if bits == first:
+                        middle[group] ^= 1 << (word & 63)
+                        if not middle[group]:
+                            top ^= 1 << group
+                if current[found] == rank:  # else stale: the pair here has changed
+                    at = found
+                    break
+            if at < 0:
+                break
             gone = after[at]
             end = after[gone]
             after[at] = end
-            current[gone] = -1
+            current[gone] = current[at] = -1
+            changed = []
             if end < n:
                 before[end] = at
-                r = ranks.get(piece[at : after[end]])
-                current[at] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, at)
-            else:
-                current[at] = -1
-            left = before[at]
-            if left >= 0:
-                r = ranks.get(piece[left:end])
-                current[left] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, left)
+                changed.append((at, after[end]))
+            if before[at] >= 0:
+                changed.append((before[at], end))
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(self.ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
-    def _pretoken(self, word: str) -> bytes:
-        found = self.pretokens.get(word)
-        if found is None:
-            found = np.array(self.merge(word.encode()), "<u4").tobytes()
-            if len(word) <= 64:
-                if len(self.pretokens) >= REMEMBERED:
-                    self.pretokens.clear()
-                self.pretokens[word] = found
-        return found
-
-    def _piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
-        if found is None:
-            found = b"".join(map(self._pretoken, self.split(text)))
-            if len(text) <= 64:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[text] = found
-        return found
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.unsafe(text):
-            return b"".join(map(self._piece, self.cut(text)))
+        simple = len(text.split()) == text.count(" ") + text.count("\n") + 1  # each one between two words
+        if not simple and self.unsafe(text):
+            return b"".join([self.pieces.make(x) for x in self.cut(text)])
         first, *rest = text.split(" ")
-        return b"".join([self._piece(first), *map(self._piece, [" " + x for x in rest])])
+        return b"".join([self.pieces.make(first), *map(self.pieces.__getitem__, rest)])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -222,16 +212,22 @@ def decode(tokens: DataFrame, id: str = "doc_id", ids: str = "ids", ranks: str |
     return tokens.select(id, ids).mapInArrow(rows, f"`{id}` {dict(tokens.dtypes)[id]}, ids array<int>, bytes binary")
 
 
-def digests(decoded: DataFrame, id: str = "doc_id") -> DataFrame:
-    """``n_tokens``, and SHA-256 of the ids (little-endian) and of the decoded bytes."""
+def digests(tokens: DataFrame, id: str = "doc_id", ids: str = "ids", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``n_tokens``, and SHA-256 of the ids (little-endian) and of the bytes they decode to."""
     import hashlib
 
+    ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
+
     def rows(batches):
+        own = codec(ranks, pattern)
         for batch in batches:
-            ids = [hashlib.sha256(np.asarray(x.values, dtype="<u4").tobytes()).hexdigest() for x in batch.column(1)]
-            sizes = [len(x) for x in batch.column(1)]
-            texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids), pa.array(texts)],
+            sizes, sums, texts = [], [], []
+            for x in batch.column(1):
+                numbers = np.asarray(x.values, dtype="<u4") if x.is_valid else np.empty(0, "<u4")
+                sizes.append(len(numbers))
+                sums.append(hashlib.sha256(numbers.tobytes()).hexdigest())
+                texts.append(hashlib.sha256(own.decode(numbers.tolist())).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums), pa.array(texts)],
                                              names=[id, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(rows, f"`{id}` {dict(decoded.dtypes)[id]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return tokens.select(id, ids).mapInArrow(rows, f"`{id}` {dict(tokens.dtypes)[id]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
