@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -49,23 +50,51 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
+    """Encodes texts piece by piece; pieces in recent use are remembered, in two generations."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def learn(self, new: set[str]) -> None:
+        known, older = self.pieces, self.older
+        for p in new & older.keys():
+            known[p] = older[p]
+        rest = new.difference(known)
+        # A comma or full stop after a letter is a token of its own: encode the word without it.
+        ended = {p for p in rest if len(p) > 1 and p[-1] in ",." and p[-2].isalpha()}
+        plain = (rest - ended) | ({p[:-1] for p in ended} | {",", "."}).difference(known)
+        letters = [p for p in plain if p.isalpha()]
+        if letters:  # one word each, so their ids in one text end where a token ends a word
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(stops) == len(letters):
+                raw, start = ids.tobytes(), 0
+                for p, stop in zip(letters, stops.tolist()):
+                    known[p] = raw[start:stop]
+                    start = stop
+                plain.difference_update(letters)
+        others = list(plain)
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            known[p] = array("I", e.ids).tobytes()
+        for p in ended:
+            known[p] = known[p[:-1]] + known[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         if len(self.pieces) >= REMEMBERED:
-            self.pieces = {"": b""}
+            self.pieces, self.older = {}, self.pieces
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        known = self.pieces
-        new = list({p for parts in split for p in parts if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        self.learn(set().union(*split).difference(self.pieces))
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
 
 
 @cache
