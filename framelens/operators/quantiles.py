@@ -2,9 +2,13 @@
 
 Spark's ``percentile`` keeps all distinct values of a group in one task. Here a group that
 is small enough is counted by value and its ranks are read off. In a larger group the wanted
-ranks are first located by equal-width histograms: each pass counts the rows of a cell in
-bins (only the counts are shuffled) and keeps the few bins that hold a wanted rank, until
-every cell is small or holds one value.
+ranks are located first: each pass cuts a cell at approximate quantiles of its own values,
+counts the rows at and between the cuts (only counts are shuffled) and keeps the few parts
+that hold a wanted rank, until every part is small or holds one value. The cuts follow the
+data, so a part has about 1/``bins`` of its cell's rows for values of any range.
+
+Infinite values are ordered like others; a quantile between two equal values is that value.
+A group with a NaN has NaN quantiles. Nulls are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ from framelens.operators.ordering import attach, sized
 from framelens.session import written
 
 CELL_ROWS = 16_000_000
-BINS = 4096
+BINS = 64
+ACCURACY = 10_000
 
 
 def _wanted(n: Column, prob: float) -> Column:
@@ -37,10 +42,11 @@ def exact_quantiles(
     keyed = keys or ["_all"]
     base = df.select(*([F.lit(0).alias("_all")] if not keys else keys), value.cast("double").alias("_v"))
     base = base.where(F.col("_v").isNotNull())
+    has_nan = F.max(F.isnan("_v")).alias("_nan")
 
     lower = [F.floor(_wanted(F.col("_n"), p)).cast("bigint") for p in probs.values()]
     ranks = F.array_distinct(F.array(*lower, *[F.least(r + 1, F.col("_n") - 1) for r in lower]))
-    span = base.groupBy(*keyed).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    span = base.groupBy(*keyed).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), has_nan)
     span = written(spark, span.withColumn("_ranks", ranks))
 
     zero = F.lit(0).cast("bigint")
@@ -69,8 +75,9 @@ def exact_quantiles(
     picked = ranked.groupBy(*keyed).agg(
         F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")  # at most 2 per probability
     )
-    joined = picked.join(span.select(*keyed, "_n"), keyed)
-    return joined.select(*keys, *[_interpolated(p).alias(name) for name, p in probs.items()])
+    joined = picked.join(span.select(*keyed, "_n", "_nan"), keyed)
+    not_a_number = F.lit(float("nan"))
+    return joined.select(*keys, *[F.when(F.col("_nan"), not_a_number).otherwise(_interpolated(p)).alias(name) for name, p in probs.items()])
 
 
 def _split(spark, base: DataFrame, cells: DataFrame, keys: list[str], large: Column, bins: int) -> DataFrame:
@@ -81,7 +88,8 @@ def _split(spark, base: DataFrame, cells: DataFrame, keys: list[str], large: Col
         if not n:
             return cells
         finer = _refine(_locate(base, todo, keys, n), todo, keys, bins)
-        cells = written(spark, cells.where(~large).unionByName(finer))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("_before")).cast("bigint")  # few cells per key
+        cells = written(spark, cells.where(~large).unionByName(finer).withColumn("_c", place))
 
 
 def _locate(base: DataFrame, cells: DataFrame, keys: list[str], rows: int) -> DataFrame:
@@ -93,9 +101,12 @@ def _locate(base: DataFrame, cells: DataFrame, keys: list[str], rows: int) -> Da
 
 
 def _refine(located: DataFrame, cells: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    width = F.col("_hi") - F.col("_lo")
-    bin_id = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1)).cast("bigint")
-    histogram = located.withColumn("_b", bin_id).groupBy(*keys, "_c", "_b").agg(
+    """Parts of the cells, at their cuts (odd numbers) and between them (even), that hold wanted ranks."""
+    cuts = located.groupBy(*keys, "_c").agg(
+        F.percentile_approx("_v", [i / bins for i in range(1, bins)], ACCURACY).alias("_cuts"))
+    at_cut = F.array_contains("_cuts", F.col("_v")).cast("int")
+    part = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) * 2 + at_cut
+    histogram = located.join(cuts, [*keys, "_c"]).withColumn("_b", part).groupBy(*keys, "_c", "_b").agg(
         F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     earlier = Window.partitionBy(*keys, "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,9 +117,7 @@ def _refine(located: DataFrame, cells: DataFrame, keys: list[str], bins: int) ->
         .withColumn("_before", F.col("_base") + F.col("_earlier"))
         .withColumn("_ranks", F.filter("_wanted", lambda r: (r >= start) & (r < end)))
     )
-    return placed.where(F.size("_ranks") > 0).select(
-        *keys, (F.col("_c") * bins + F.col("_b") + 1).alias("_c"), "_lo", "_hi", "_before", "_n", "_ranks"
-    )
+    return placed.where(F.size("_ranks") > 0).select(*keys, "_c", "_lo", "_hi", "_before", "_n", "_ranks")
 
 
 def _interpolated(prob: float) -> Column:
@@ -116,7 +125,7 @@ def _interpolated(prob: float) -> Column:
     below = F.floor(wanted).cast("bigint")
     low = F.try_element_at("_at", below)
     high = F.try_element_at("_at", F.least(below + 1, F.col("_n") - 1))
-    return low + (high - low) * (wanted - below)
+    return F.when((low == high) | (wanted == below), low).otherwise(low + (high - low) * (wanted - below))
 
 
 def summary(df: DataFrame, keys: list[str], value: Column, probs: dict[str, float] | None = None) -> DataFrame:

@@ -126,3 +126,21 @@ def test_episode_joins(spark, hot):
     chosen = spark.createDataFrame([(4,), (2,)], "episode_index bigint")
     assert fr.select_episodes(hot, chosen).count() == 61 and fr.except_episodes(hot, chosen).count() == 21
     assert fr.select_episodes(hot, None).count() == 82
+
+
+@pytest.mark.parametrize("settings", [{}, {"cell_rows": 20, "bins": 3}, {"cell_rows": 5, "bins": 64}])
+def test_quantiles_of_wide_ranges(spark, settings):
+    rng = np.random.default_rng(8)
+    groups = {
+        "log": 10.0 ** rng.uniform(-30, 0, 400),
+        "tiny": np.concatenate([rng.uniform(0, 5e-320, 200), [0.0, -0.0]]),
+        "hot": np.concatenate([np.full(300, 2.5), rng.normal(size=90)]),
+        "inf": np.concatenate([rng.uniform(size=300), [np.inf, -np.inf]]),
+        "nan": np.concatenate([rng.uniform(size=300), [np.nan]]),
+        "huge": rng.uniform(-1, 1, 200) * 1e300,
+    }
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double").repartition(6)
+    probs = {"a": 0.01, "b": 0.25, "c": 0.5, "d": 0.99}
+    got = {r.k: tuple(r[1:]) for r in exact_quantiles(rows, ["k"], F.col("v"), probs, **settings).collect()}
+    for k, vs in groups.items():
+        assert np.allclose(got[k], np.quantile(vs, list(probs.values())), rtol=1e-12, atol=0, equal_nan=True), k
