@@ -33,9 +33,11 @@ def checkpoint_columns(path: Column, wrapper_level: str) -> dict[str, Column]:
     """Checkpoint directory, step, run and id of a checkpoint path; nulls for a null path.
 
     ``wrapper_level`` names the directory that a training framework may put between a run
-    and its checkpoints; it is skipped when the run is named.
+    and its checkpoints; it is skipped when the run is named. Repeated and closing slashes and
+    ``.`` steps do not count.
     """
-    directory = F.when(_name(path) == "pretrained_model", _parent(path)).otherwise(path)
+    clean = F.regexp_replace(F.regexp_replace(path, "/(\\./)+|/+", "/"), "(?<=.)(/\\.?)+$", "")
+    directory = F.when(_name(clean) == "pretrained_model", _parent(clean)).otherwise(clean)
     step = F.when(_name(directory).rlike("^[0-9]+$"), _name(directory))
     in_run = _name(_parent(directory)) == "checkpoints"
     container = _parent(_parent(directory))

@@ -49,19 +49,37 @@ def nearest_code(
 
 
 def _search(tokens: DataFrame, vector: str, ids: np.ndarray, codes: np.ndarray) -> DataFrame:
+    centre = codes.mean(0) if len(codes) else 0.0  # far offsets would cancel in the expanded square
+    near = codes - centre
+    norms = (near * near).sum(1)
+    slack = 8 * np.finfo(float).eps * max(codes.shape[-1], 1)
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            squared = (x * x).sum(1)[:, None] - 2 * (x @ codes.T) + (codes * codes).sum(1)[None, :]
+            y = x - centre
+            own = (y * y).sum(1)[:, None]
+            squared = own - 2 * (y @ near.T) + norms[None, :]
             hit = squared.argmin(1)
-            yield pdf.assign(code_id=ids[hit], sq_distance=((x - codes[hit]) ** 2).sum(1))
+            # Candidates within the rounding error are decided by exact differences, as in blocks.
+            close = squared <= squared.min(1)[:, None] + slack * (own + norms[None, :])
+            for i in np.flatnonzero(close.sum(1) > 1):
+                few = np.flatnonzero(close[i])
+                hit[i] = few[_differences(x[i], codes[few]).argmin()]
+            yield pdf.assign(code_id=ids[hit], sq_distance=_differences(x, codes[hit]))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
     return tokens.mapInPandas(find, f"{fields}, code_id bigint, sq_distance double")
 
 
+def _differences(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Squared distances, summed in the order of the dimensions."""
+    d = (x - codes) ** 2
+    return d.cumsum(1)[:, -1] if d.shape[1] else np.zeros(len(d))
+
+
 def with_code_vectors(rows: DataFrame, codebook: DataFrame, key: str = "idx", max_numbers: int = CODE_NUMBERS) -> DataFrame:
     """Attach the vector of the row's code: a small codebook is broadcast after counting it,
     else the rows of much used codes are salted."""

@@ -204,14 +204,22 @@ def _latent_headline(t: dict[str, DataFrame]) -> DataFrame:
 
 def cosine_analysis(frames: DataFrame, feature: str, offset: int, encoders: dict, out: str, manifest: dict[str, Column],
                     max_rows: int | None = None, seed: int = 0, registry: str | None = None, force: bool = False) -> dict[str, DataFrame]:
-    """Past/future cosine per row, format and episode; all formats must agree on valid rows."""
+    """Past/future cosine per row, format and episode.
+
+    An encoder marks a row as invalid by a null; all formats must agree on the valid rows.
+    """
     spark = frames.sparkSession
     pairs = fr.past_future_pairs(frames, feature, offset).where("past_valid AND future_valid")
     encoded = apply_pair_encoder(pairs, encoders)
     if max_rows is not None:
         encoded = sp.sample_rows(encoded, max_rows, "idx", seed)
     scores = written(spark, sc.long_scores(encoded, ["idx", "episode_index"], {
-        n: tensors.cosine(F.col(f"{n}_past"), F.col(f"{n}_future")) for n in encoders}))
+        n: F.when(F.col(f"{n}_past").isNotNull() & F.col(f"{n}_future").isNotNull(), tensors.cosine(F.col(f"{n}_past"), F.col(f"{n}_future")))
+        for n in encoders}))
+    valid = scores.groupBy("idx").agg(F.count("spcfc").alias("n"))
+    if (differing := valid.where((F.col("n") > 0) & (F.col("n") < len(encoders))).count()):
+        raise ValueError(f"the formats disagree on the validity of {differing} rows")
+    scores = scores.where("spcfc IS NOT NULL")
     datasets.write_scores(scores, f"{out}/scores", force)
     tables = {
         "spcfc_summary": sc.cosine_summary(scores).orderBy("latent_format"),

@@ -22,11 +22,26 @@ def user_labels(
     """
     chosen = select_episodes(frames, episodes)
     found = written(frames.sparkSession, apply_labeler(chosen, plan, function))
+    _check_labels(found, chosen, plan)
     fills = {n: r.fill_column() for n, r in plan.representations.items()}
     full = labels.scatter_labels(frames, found, fills)
     return _capped(full, fills, max_valid)
 
 
+def _check_labels(found: DataFrame, chosen: DataFrame, plan: LabelPlan) -> None:
+    """Fail on labels given twice, for frames that were not asked for, or of another size than planned."""
+    sizes = {n: r.size for n, r in plan.representations.items() if r.type_name.startswith("array")}
+    wrong = [F.count(F.when(F.size(n) != s, 1)).alias(n) for n, s in sizes.items()]
+    rows, *counts = found.agg(F.count(F.lit(1)), *wrong).first()
+    for (name, size), n in zip(sizes.items(), counts):
+        if n:
+            raise ValueError(f"{n} labels in {name} do not have the planned size {size}")
+    if (distinct := found.select("idx").distinct().count()) != rows:
+        raise ValueError(f"{rows - distinct} labels were given more than once for a frame")
+    if (stray := found.join(chosen.select("idx"), "idx", "left_anti").count()):
+        raise ValueError(f"{stray} labels belong to no frame that was asked for")
+
+
 def _capped(full: DataFrame, fills: dict, max_valid: int | None) -> DataFrame:
     if max_valid is None:
         return full

@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,28 @@ def test_labeler_must_return_the_declared_names(spark):
         lab.apply_labeler(rows, plan, lambda pdf: pdf[["idx"]].assign(change=None)).collect()
 
 
+@pytest.mark.parametrize("change, message", [
+    (lambda pdf: pd.concat([pdf, pdf]), "more than once"),
+    (lambda pdf: pdf.assign(change=[[1.0]] * len(pdf)), "planned size"),
+    (lambda pdf: pdf.assign(idx=pdf.idx + 10_000_000), "no frame"),
+])
+def test_labels_outside_the_contract_fail(spark, change, message):
+    rows = T.frames(spark, SF).withColumn("a0", F.col("action")[0])
+    plan = lab.LabelPlan({"a0": [-1, 0, 10]}, {"change": lab.Representation("array<double>", 2, -9.0)})
+    with pytest.raises(ValueError, match=message):
+        labeling.user_labels(rows, plan, lambda pdf: change(artifacts.change_labeler(pdf)))
+
+
+def test_formats_must_agree_on_valid_rows(spark, tmp_path):
+    frames = T.labeled_frames(spark, SF)
+    whole = lambda other, current: tensors.difference(current, other)
+    some = lambda other, current: F.when(F.col("idx") % 3 != 0, tensors.difference(current, other))
+    with pytest.raises(ValueError, match="disagree"):
+        analysis.cosine_analysis(frames, "continuous", 10, {"a": whole, "b": some}, str(tmp_path / "x"), manifest(spark, "cosine"))
+    stored = analysis.cosine_analysis(frames, "continuous", 10, {"a": some, "b": some}, str(tmp_path / "y"), manifest(spark, "cosine"))
+    assert stored["spcfc_summary"].count() == 2
+
+
 def test_forbidden_prefix(spark, tmp_path):
     rows = spark.range(1).toDF("idx").withColumn("valid", F.lit(1))
     with pytest.raises(ValueError):

@@ -440,3 +440,26 @@ def test_slim_export_round_trip(spark, tmp_path):
     stats, listed = backfill_stats(root, spark, "latent_labels")
     got = {(r.pos, r.stat): r.value for r in stats.collect()}
     assert got[(0, "mean")] == 1.0 and got[(11, "count")] == 2 and listed.first().stats_feature_names == ["latent_labels.latent"]
+
+
+def test_checkpoint_paths_with_closing_slashes(spark):
+    rows = spark.createDataFrame([("/a/runs/x/checkpoints/000100/",), ("/a//runs/./x/checkpoints/000100/pretrained_model//",)], "p string")
+    got = rows.select(*[c.alias(n) for n, c in text.checkpoint_columns(F.col("p"), "wrap").items()]).collect()
+    assert [(r.source_checkpoint_id, r.source_checkpoint_step, r.source_run_path) for r in got] == [("x__000100", "000100", "/a/runs/x")] * 2
+
+
+def test_nearest_codes_far_from_the_origin(spark):
+    import numpy as np
+
+    from framelens.operators.codebook import nearest_code
+
+    rng = np.random.default_rng(2)
+    codes = 1e6 + rng.uniform(size=(40, 8)) * 1e-3
+    codes[7] = codes[3]  # a tie: the lower id wins
+    tokens = np.concatenate([1e6 + rng.uniform(size=(60, 8)) * 1e-3, codes[[7, 3]]])
+    book = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(codes)], "code_id bigint, code array<double>")
+    rows = spark.createDataFrame([(i, t.tolist()) for i, t in enumerate(tokens)], "idx bigint, vector array<double>")
+    matrix = {r.idx: (r.code_id, r.sq_distance) for r in nearest_code(rows, book, ["idx"]).collect()}
+    blocks = {r.idx: (r.code_id, r.sq_distance) for r in nearest_code(rows, book, ["idx"], max_numbers=1, block=8).collect()}
+    want = {i: int(((t - codes) ** 2).cumsum(1)[:, -1].argmin()) for i, t in enumerate(tokens)}
+    assert {i: c for i, (c, _) in matrix.items()} == {i: c for i, (c, _) in blocks.items()} == want
