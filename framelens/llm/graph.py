@@ -53,9 +53,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = common.stored(links.select("a", "b").mapInArrow(_local_forest, "a binary, b binary"))
     before = None
     while True:
-        large = common.stored(_large_star(edges))
         seen = Observation()
-        small = common.stored(_small_star(large).distinct().observe(
+        small = common.stored(_small_star(_large_star(edges)).distinct().observe(
             seen, F.count(F.lit(1)).alias("n"), F.sum(F.crc32(F.concat("a", "b"))).alias("sum")))
         state = (seen.get["n"], seen.get["sum"])
         if state == before:

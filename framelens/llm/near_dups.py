@@ -3,9 +3,10 @@
 A document is the set of its five-word shingles, hashed to 64 bits. SuperMinHash gives every
 shingle a random permutation of the signature's slots: in step j it offers rank ``j + r`` to its
 j-th slot, and steps end for a document once no slot can still fall. Equal sets are one node from
-the start. Nodes that agree in the four slots of a band share a bucket; all of a bucket are
-compared with its smallest node, on full sets. Then components are found, and buckets that still
-hold several components compare their nodes with other centres until a round finds no link.
+the start. Nodes that agree in the four slots of a band share a bucket. Each node is first
+compared, on full sets, with the smallest node that it shares a bucket with. Components are found,
+and buckets that still hold several of them compare their nodes with other centres, two at a
+time, until a round finds no link.
 
 Defined results: null, empty and blank texts have no shingles and no links; texts with fewer than
 five words are one shingle; null ids come last (a component of null ids has a null id); repeated
@@ -17,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.llm import common
@@ -185,7 +186,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     buckets = members.groupBy("h").agg(F.min(F.struct("node", "n")).alias("centre"), F.count(F.lit(1)).alias("members"))
     members = common.stored(common.lookup(members, buckets.where("members > 1").drop("members"), ["h"], "inner"))
 
-    tried, n_tried = common.stored_counted(candidates(members))
+    nearest = members.where(may_link("centre")).groupBy("node").agg(F.min("centre.node").alias("a"))
+    tried, n_tried = common.stored_counted(nearest.select("a", F.col("node").alias("b")))  # one centre each to begin with
     if not n_tried:
         return _result(rows, nodes, None)
     sets = shingle_sets(keyed, nodes, members)
@@ -198,11 +200,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         if roots is not None:
             placed = members.drop("centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         centre = F.struct(F.xxhash64(F.lit(turn), "h", "node").alias("luck"), "node", "n", "root")
-        mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(centre).alias("centre"))
-        mixed, n_mixed = common.stored_counted(mixed.where("lo != hi").select("h", "centre"))
-        if not n_mixed:
-            break
-        unsure = common.lookup(placed, mixed, ["h"], "inner").where(F.col("root") != F.col("centre.root"))
+        mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(F.min(centre), F.max(centre)).alias("centres"))
+        unsure = common.lookup(placed, mixed.where("lo != hi").select("h", "centres"), ["h"], "inner")
         untried, n_untried = common.stored_counted(candidates(unsure).join(tried, ["a", "b"], "left_anti"))
         n_new = 0
         if n_untried:
@@ -216,12 +215,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     return _result(rows, nodes, roots)
 
 
+def may_link(centre: str) -> Column:
+    """Two different nodes whose sizes allow the threshold."""
+    n, m = F.col("n"), F.col(f"{centre}.n")
+    return (F.col("node") != F.col(f"{centre}.node")) & (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
+
+
 def candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs of a member of a bucket and its centre whose sizes allow the threshold."""
-    n, m = F.col("n"), F.col("centre.n")
-    close = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
-    return members.where((F.col("node") != F.col("centre.node")) & close).select(
-        F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
+    """Distinct pairs of a member of a bucket and its centres that are in other components."""
+    rows = members.withColumn("centre", F.explode("centres")).where(may_link("centre") & (F.col("root") != F.col("centre.root")))
+    return rows.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
 
 
 def _result(rows: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
