@@ -53,32 +53,35 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min
     leaves = lines.select("leaf", *document).distinct().groupBy("leaf").agg(
         F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
     leaves, n_leaves = common.stored_counted(leaves.select("leaf"))
-    live = common.stored(common.join_checked(lines, leaves, ["leaf"], "left_semi", n_leaves))
-
-    distinct = live.select("leaf", "line", *document).distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_pairs"))
-    distinct = common.stored(distinct)
-    tokens = distinct.select("leaf", "line", "n_pairs", F.posexplode_outer(F.split("line", " ")).alias("pos", "token"))
-    frequent = tokens.where(F.col("pos") >= depth).groupBy("leaf", "pos", "token").agg(
-        F.sum("n_pairs").alias("support")).where(F.col("support") >= min_docs)
-    frequent = frequent.select("leaf", "pos", "token", F.lit(True).alias("constant"))
-    seen = common.lookup(tokens, frequent, ["leaf", "pos", "token"])
-    constant = (F.col("pos") < depth) | F.col("constant")
-    token = F.when(constant, F.col("token")).otherwise(F.lit(VARIABLE))
-    parts = seen.groupBy("leaf", "line").agg(
-        F.array_sort(F.collect_list(F.struct("pos", token.alias("t")))).alias("parts"),
-        F.avg(F.when(token == VARIABLE, 0.0).otherwise(1.0)).alias("share"))
-    template = F.when(F.col("share") >= min_share, F.array_join(F.col("parts.t"), " ")).otherwise(F.col("line"))
-    templates = parts.select("leaf", "line", template.alias("template"))
-    templates, n_templates = common.stored_counted(templates.select("leaf", "line", F.md5("template").alias("template")))
-
-    placed = common.join_checked(live, templates, ["leaf", "line"], "inner", n_templates)
+    live = common.join_checked(lines, leaves, ["leaf"], "left_semi", n_leaves)
+    live = common.stored(live.withColumn("kind", F.unhex(F.md5("line"))))  # a line determines its leaf
+
+    kinds = live.select("kind", "leaf", "line", *document).distinct().groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.first("leaf").alias("leaf"), F.first("line").alias("line"))
+    kinds = common.stored(kinds)
+    tokens = kinds.select("kind", "n_pairs", "leaf", F.posexplode_outer(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= depth)
+    tokens = tokens.select("kind", "n_pairs", "pos", F.xxhash64("leaf", "pos", "token").alias("k"), F.xxhash64("token", "pos", "leaf").alias("l"))
+    frequent = tokens.groupBy("k", "l").agg(F.sum("n_pairs").alias("support")).where(F.col("support") >= min_docs)
+    variable = tokens.join(frequent.select("k", "l"), ["k", "l"], "left_anti").groupBy("kind").agg(F.collect_list("pos").alias("_variable"))
+
+    # The template as its constant tokens with their places.
+    parts = kinds.drop("n_pairs").join(variable, "kind", "left").withColumn("_words", F.split("line", " "))
+    n = F.size("_words")
+    places = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce(F.col("_variable"), F.array().cast("array<int>")))
+    parts = parts.withColumn("_constant", F.filter(places, lambda i: F.get(F.col("_words"), i) != VARIABLE))
+    named = F.transform("_constant", lambda i: F.concat_ws(":", i.cast("string"), F.get(F.col("_words"), i)))
+    template = F.when(F.size("_constant") >= n * min_share, F.concat_ws(" ", n.cast("string"), F.array_join(named, " "))).otherwise(F.col("line"))
+    templates, n_templates = common.stored_counted(parts.select("kind", F.md5(template).alias("template")))
+
+    placed = common.join_checked(live, templates, ["kind"], "inner", n_templates)
     placed = common.stored(placed.select(*document, "line_no", "template"))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"))
     found = placed.select("template", *document).distinct().groupBy("template").agg(
         F.count(F.lit(1)).alias("n_docs"), F.min(order).alias("first")).where(F.col("n_docs") >= min_docs)
     found, n_found = common.stored_counted(found.drop("n_docs"))
     dropped = common.join_checked(placed, found, ["template"], "inner", n_found).where(~order.eqNullSafe(F.col("first")))
-    return dropped.groupBy(*document).agg(F.collect_set("line_no").alias("_dropped"))
+    dropped = dropped.groupBy(*document).agg(F.collect_set("line_no").alias("_dropped"))
+    return common.stored(dropped.withColumn("_n", F.size("_dropped")))
 
 
 def drop_recurring(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -86,7 +89,11 @@ def drop_recurring(docs: DataFrame, id: str = "doc_id", text: str = "text", **op
 
     ``emptied`` marks a document that had words and lost all of them.
     """
-    dropped = recurring_lines(docs, id, text, **options).select(F.col("_id").alias("_did"), F.col("_th").alias("_dth"), "_dropped")
+    dropped = recurring_lines(docs, id, text, **options)
+    n, held = dropped.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    small = 64 * n + 4 * held <= common.BROADCAST_BYTES
+    dropped = dropped.select(F.col("_id").alias("_did"), F.col("_th").alias("_dth"), "_dropped")
+    dropped = F.broadcast(dropped) if small else dropped
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("_hash_of_text", F.xxhash64(value))
     joined = rows.join(dropped, F.col(id).eqNullSafe(F.col("_did")) & (F.col("_hash_of_text") == F.col("_dth")), "left")
