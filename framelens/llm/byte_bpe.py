@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 SPACE_CLASS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-REMEMBERED = 350_000
+REMEMBERED = 280_000
 BLOCK_BYTES = 4 << 20
 
 
