@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from framelens.session import shared_folder
 
 END = 2
-REMEMBERED = 250_000
-BLOCK_BYTES = 4 << 20
+REMEMBERED = 180_000
+BLOCK_BYTES = 2 << 20
 LAYOUT = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
