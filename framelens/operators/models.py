@@ -74,7 +74,7 @@ def kmeans_buckets(
 
 
 def principal_plane(
-    rows: DataFrame, feature: str, usage: str | None, key: str, fit_rows: int, shown: int, seed: int
+    rows: DataFrame, feature: str, usage: str | None, key: str, fit_rows: int | None, shown: int | None, seed: int
 ) -> DataFrame:
     """Two principal components of a sample: x, y, usage_count and its log10.
 
@@ -240,12 +240,14 @@ def fit_probe(
 
 
 def run_probes(
-    rows: DataFrame, features: dict[str, str], targets: dict[str, str], *, n: int = 100_000, test_share: float = 0.2,
+    rows: DataFrame, features: dict[str, str], targets: dict[str, str], *, n: int | None = None, test_share: float = 0.2,
     split_mode: str = "episode", models: tuple[str, ...] = ("ridge", "relu"), alpha: float = 1.0, seed: int = 0,
     key: str = "idx", wide: DataFrame | None = None,
 ) -> DataFrame:
     """Split once, fit every model on every available feature set, and stack the scores.
 
+    All rows are used unless ``n`` limits them.
+
     ``wide`` may hold large feature columns by key; they are read for the drawn rows only.
     """
     columns = [*rows.columns, *(wide.columns if wide is not None else [])]

@@ -24,9 +24,9 @@ def held_out(share: float):
     return lambda total: F.ceil(F.lit(float(share)) * total)
 
 
-def row_split(rows: DataFrame, n: int, test_share: float, key: str, seed: int) -> DataFrame:
-    """A sample of at most n rows with ``side`` = train or test."""
-    drawn = random_ranks(sample_rows(rows, n, key, seed), key, f"{seed}-split", "_rank", "_total")
+def row_split(rows: DataFrame, n: int | None, test_share: float, key: str, seed: int) -> DataFrame:
+    """All rows, or a sample of at most n, with ``side`` = train or test."""
+    drawn = random_ranks(fit_sample(rows, n, key, seed), key, f"{seed}-split", "_rank", "_total")
     side = F.when(F.col("_rank") <= held_out(test_share)(F.col("_total")), "test").otherwise("train")
     return drawn.withColumn("side", side).drop("_rank", "_total")
 
@@ -58,9 +58,9 @@ def split_episodes(episodes: DataFrame, test_share: float, seed: int | str) -> D
     return ranked.select("episode_index", side.alias("side"))
 
 
-def episode_split(rows: DataFrame, n: int, test_share: float, seed: int) -> DataFrame:
-    """Rows of a budget of episodes with ``side``; no episode is on both sides."""
-    chosen = episodes_to_budget(rows, n, seed)
+def episode_split(rows: DataFrame, n: int | None, test_share: float, seed: int) -> DataFrame:
+    """Rows of all episodes, or of a budget of them, with ``side``; no episode is on both sides."""
+    chosen = rows.select("episode_index").distinct() if n is None else episodes_to_budget(rows, n, seed)
     return join_by_episode(rows, split_episodes(chosen, test_share, f"{seed}-split"), "inner")
 
 

@@ -28,7 +28,7 @@ TARGETS = {"current_action": "action", "future_action_mean": "future_mean"}
 
 @dataclass(frozen=True)
 class LatentAnalysis:
-    """Parameters of the distribution analysis; the defaults are the usual caps."""
+    """Parameters of the distribution analysis; row limits are off unless given."""
 
     action_dim: int
     slots: tuple[int, int]
@@ -39,9 +39,9 @@ class LatentAnalysis:
     progress_bins: int = 10
     bucket_clusters: int = 128
     action_clusters: int = 64
-    fit_rows: int = 50_000
-    shown_rows: int = 100_000
-    probe_rows: int = 100_000
+    fit_rows: int | None = None
+    shown_rows: int | None = None
+    probe_rows: int | None = None
     test_share: float = 0.2
     probe_split: str = "episode"
     probe_models: tuple[str, ...] = ("ridge", "relu")

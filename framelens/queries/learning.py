@@ -90,7 +90,7 @@ def standardize(spark, sf):
 @query("kmeans_latent_buckets")
 def kmeans_latent_buckets(spark, sf):
     rows = fr.valid_rows(T.labeled_frames(spark, sf)).select("idx", "continuous")
-    assigned, summary = md.kmeans_buckets(rows, "continuous", 16, 2000, "idx", 0, "cluster_")
+    assigned, summary = md.kmeans_buckets(rows, "continuous", 16, None, "idx", 0, "cluster_")
     counts = assigned.groupBy("bucket", "bucket_label").agg(F.count("*").alias("bucket_count"))
     return attach(counts, summary, [])
 
@@ -100,7 +100,7 @@ def kmeans_action_buckets(spark, sf):
     out = None
     for target, column in TARGETS.items():
         rows = T.valid_frames(spark, sf).select("idx", column)
-        assigned, summary = md.kmeans_buckets(rows, column, 8, 2000, "idx", 0, "action_cluster_")
+        assigned, summary = md.kmeans_buckets(rows, column, 8, None, "idx", 0, "action_cluster_")
         counts = assigned.groupBy("bucket", "bucket_label").agg(F.count("*").alias("bucket_count"))
         one = attach(counts, summary, []).withColumn("action_target", F.lit(target))
         out = one if out is None else out.unionByName(one)
@@ -237,4 +237,4 @@ def best_probe_per_model(spark, sf):
 @query("pca_scatter_table")
 def pca_scatter_table(spark, sf):
     rows = fr.valid_rows(T.labeled_frames(spark, sf)).select("idx", "ids", "continuous")
-    return md.principal_plane(rows, "continuous", "ids", "idx", 50_000, 100_000, 0)
+    return md.principal_plane(rows, "continuous", "ids", "idx", None, None, 0)
