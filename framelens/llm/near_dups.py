@@ -5,8 +5,8 @@ shingle a random permutation of the signature's slots: in step j it offers rank
 j-th slot, and steps end for a document once no slot can still fall. Equal sets are one node from
 the start. Nodes that agree in the four slots of a band share a bucket. Each node is first
 compared, on full sets, with the smallest node that it shares a bucket with. Components are found,
-and buckets that still hold several of them compare their nodes with other centres, two at a
-time, until a round finds no link.
+and buckets that still hold several of them compare their nodes with other centres, drawn anew in
+each round, until a round finds no link.
 
 Defined results: null, empty and blank texts have no shingles and no links; texts with fewer than
 five words are one shingle; null ids come last (a component of null ids has a null id); repeated
@@ -28,6 +28,7 @@ SHINGLE = 5
 SLOTS = 128
 ROWS = 4
 PERCENT = 75
+CENTRES = 8  # of an open bucket, in each further round
 BLOCK = 400_000  # shingles handled at once
 
 _U = np.uint64
@@ -199,8 +200,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         placed = members.drop("centre").withColumn("root", F.col("node"))
         if roots is not None:
             placed = members.drop("centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        centre = F.struct(F.xxhash64(F.lit(turn), "h", "node").alias("luck"), "node", "n", "root")
-        mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(F.min(centre), F.max(centre)).alias("centres"))
+        drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "h", "node").alias("luck"), "node", "n", "root")) for k in range(CENTRES)]
+        mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(*drawn).alias("centres"))
         unsure = common.lookup(placed, mixed.where("lo != hi").select("h", "centres"), ["h"], "inner")
         untried, n_untried = common.stored_counted(candidates(unsure).join(tried, ["a", "b"], "left_anti"))
         n_new = 0
@@ -223,7 +224,9 @@ def may_link(centre: str) -> Column:
 
 def candidates(members: DataFrame) -> DataFrame:
     """Distinct pairs of a member of a bucket and its centres that are in other components."""
-    rows = members.withColumn("centre", F.explode("centres")).where(may_link("centre") & (F.col("root") != F.col("centre.root")))
+    n, node, root = F.col("n"), F.col("node"), F.col("root")
+    wanted = F.filter("centres", lambda c: (c["root"] != root) & (c["node"] != node) & (F.least(n, c["n"]) * 100 >= F.greatest(n, c["n"]) * PERCENT))
+    rows = members.select("node", F.explode(wanted).alias("centre"))
     return rows.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
 
 
