@@ -6,7 +6,9 @@ j-th slot, and steps end for a document once no slot can still fall. Equal sets
 the start. Nodes that agree in the four slots of a band share a bucket. Each node is first
 compared, on full sets, with the smallest node that it shares a bucket with. Components are found,
 and buckets that still hold several of them compare their nodes with other centres, drawn anew in
-each round, until a round finds no link.
+each round, while that pays. Then the buckets that are still open are finished: all their pairs of
+different components are compared, in pieces of bounded size. Parity bitmaps of the sets rule out
+most of these pairs: two sets differ in at least as many shingles as their bitmaps in bits.
 
 Defined results: null, empty and blank texts have no shingles and no links; texts with fewer than
 five words are one shingle; null ids come last (a component of null ids has a null id); repeated
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,10 @@ SHINGLE = 5
 SLOTS = 128
 ROWS = 4
 PERCENT = 75
-CENTRES = 8  # of an open bucket, in each further round
+CENTRES = 1  # of an open bucket, in each further round; what rounds leave is compared afterwards
+PAYS = 20  # rounds go on while one in so many compared pairs is a link
+SMALL = 16  # members of an open bucket that is finished by a plain join
+PIECE = 2048  # members of a piece of a larger one
 BLOCK = 400_000  # shingles handled at once
 
 _U = np.uint64
@@ -173,6 +179,90 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         _confirmed, "a binary, b binary")
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """Parity of the set's hashes per bit, in at least four bits a hash, up to 32768."""
+    size = min(max(64, 1 << (4 * len(items) - 1).bit_length()), 1 << 15)
+    odd = np.bincount((items & _U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(_U)
+
+
+def _bitmap_rows(batches):
+    for batch in batches:
+        bits = [bitmap(np.frombuffer(x.as_buffer(), _U)).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["node", "bits"])
+
+
+def _close_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of two pieces of a bucket that are of different components and whose bitmaps allow the threshold."""
+    table = table.combine_chunks().sort_by("n")
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    piece, n = table["piece"].to_numpy(), table["n"].to_numpy()
+    root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    bits = [np.frombuffer(x.as_buffer(), _U) for x in table["bits"].combine_chunks()]
+    words = np.fromiter(map(len, bits), np.int64, len(bits))
+    left, right = np.flatnonzero(piece == i), np.flatnonzero(piece == j)
+    out = [np.empty((2, 0), np.int64)]
+    for start in range(0, len(left), 64):
+        a = left[start : start + 64]
+        b = right[np.searchsorted(n[right], n[a[0]] * PERCENT // 100) : np.searchsorted(n[right], n[a[-1]] * 100 // PERCENT, "right")]
+        if (root[a] == root[a[0]]).all():
+            b = b[root[b] != root[a[0]]]
+        if not len(b):
+            continue
+        width = min(words[a].min(), words[b].min())
+        x, y = (np.stack([np.bitwise_xor.reduce(bits[k].reshape(-1, width), axis=0) for k in rows], axis=1) for rows in (a, b))
+        apart = np.zeros((len(a), len(b)), np.int32)
+        for k in range(width):
+            apart += np.bitwise_count(x[k][:, None] ^ y[k])
+        na, nb = n[a][:, None], n[b][None, :]
+        keep = (apart * (100 + PERCENT) <= (na + nb) * (100 - PERCENT)) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * PERCENT)
+        keep &= root[a][:, None] != root[b]
+        if i == j:
+            keep &= a[:, None] < b
+        p, q = np.nonzero(keep)
+        out.append(np.stack([a[p], b[q]]))
+    p, q = np.concatenate(out, axis=1)
+    node = table["node"].combine_chunks()
+    place = np.empty(len(node), np.int64)
+    place[pa.compute.sort_indices(node).to_numpy()] = np.arange(len(node))
+    turned = place[p] > place[q]
+    p, q = np.where(turned, q, p), np.where(turned, p, q)
+    return pa.table({"a": node.take(pa.array(p)), "b": node.take(pa.array(q))})
+
+
+def remaining(placed: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """All distinct pairs ``a``, ``b`` of different components in open buckets that may reach the threshold.
+
+    The members of a bucket's largest component meet only the others. Pieces of a bucket meet in
+    tasks of their own, so no task holds more than two of them.
+    """
+    parts = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+    parts = parts.groupBy("h").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("parts"))
+    unsure, n_unsure = common.stored_counted(common.lookup(placed, parts.where("parts > 1").drop("parts"), ["h"], "inner"))
+    if not n_unsure:
+        return None
+    small = unsure.where(F.col("members") <= SMALL).select("h", "node", "n", "root")
+    other = small.select("h", F.col("root").alias("other"), F.struct("node", "n").alias("centre"))
+    pairs = small.join(other, "h").where((F.col("root") != F.col("other")) & (F.col("node") < F.col("centre.node")) & may_link("centre"))
+    pairs = pairs.select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
+
+    pieces = lambda c: F.ceil(c / PIECE).cast("int")
+    large = unsure.where(F.col("members") > SMALL).withColumns({
+        "others": pieces(F.col("members") - F.col("main.c")), "all": pieces(F.col("members") - F.col("main.c")) + pieces(F.col("main.c"))})
+    draw = F.xxhash64("h", "node")
+    piece = F.when(F.col("root") != F.col("main.root"), F.pmod(draw, F.col("others"))).otherwise(
+        F.col("others") + F.pmod(draw, F.col("all") - F.col("others"))).cast("int")
+    large = large.select("h", "node", "n", "root", "others", "all", piece.alias("piece"))
+    bits = sets.join(large.select("node"), "node", "left_semi").select("node", "items").mapInArrow(_bitmap_rows, "node binary, bits binary")
+    p, k = F.col("piece"), F.col("others")
+    above = F.when(p < k, F.transform(F.sequence(p, F.col("all") - 1), lambda j: F.struct(p.alias("i"), j.alias("j"))))
+    below = F.transform(F.filter(F.sequence(F.lit(0), F.least(p, k - 1)), lambda i: i < p), lambda i: F.struct(i.alias("i"), p.alias("j")))
+    met = common.lookup(large, bits, ["node"], "inner").select(
+        "h", "node", "n", "root", "piece", "bits", F.explode(F.concat(F.coalesce(above, F.array().cast("array<struct<i:int,j:int>>")), below)).alias("at"))
+    met = met.select("h", "at.i", "at.j", "node", "n", "root", "piece", "bits")
+    return pairs.union(met.groupBy("h", "i", "j").applyInArrow(_close_pairs, "a binary, b binary")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``id``, ``th`` (hash of the text), ``n`` (set size) and ``component`` (an id)."""
     spark = docs.sparkSession
@@ -197,9 +287,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     turn = 0
     while True:
         turn += 1
-        placed = members.drop("centre").withColumn("root", F.col("node"))
-        if roots is not None:
-            placed = members.drop("centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = with_roots(members, roots)
         drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "h", "node").alias("luck"), "node", "n", "root")) for k in range(CENTRES)]
         mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(*drawn).alias("centres"))
         unsure = common.lookup(placed, mixed.where("lo != hi").select("h", "centres"), ["h"], "inner")
@@ -211,11 +299,23 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         if n_new:
             links = links.union(new)
             roots = components(links)
-        elif turn > 1:
+        if n_new * PAYS <= n_untried:
             break
+    rest = remaining(with_roots(members, roots), sets)
+    if rest is not None:
+        new, n_new = common.stored_counted(verified(rest.join(tried, ["a", "b"], "left_anti"), sets))
+        if n_new:
+            roots = components(links.union(new))
     return _result(rows, nodes, roots)
 
 
+def with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members of buckets (``h``, ``node``, ``n``) with the ``root`` of their component."""
+    if roots is None:
+        return members.drop("centre").withColumn("root", F.col("node"))
+    return members.drop("centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def may_link(centre: str) -> Column:
     """Two different nodes whose sizes allow the threshold."""
     n, m = F.col("n"), F.col(f"{centre}.n")

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from framelens.llm import near_dups
 from framelens.llm.graph import components
@@ -22,6 +24,45 @@ def test_equals_all_pairs(spark):
     assert found(spark, rows) == sorted(((i, n, c) for i, (n, c) in want.items()), key=str)
 
 
+@pytest.mark.parametrize(("copies", "centres"), [(300, 1), (2000, 8)])
+def test_hub_of_copies_with_own_edits(spark, monkeypatch, copies, centres):
+    """Each copy is near the original only, so every link goes through it, whatever centres are drawn."""
+    monkeypatch.setattr(near_dups, "CENTRES", centres)
+    base = tables.prose(11, 150).split()
+    rnd = np.random.default_rng(5)
+    rows = [(5000, " ".join(base))]
+    for i in range(copies):
+        words = list(base)
+        for block in rnd.choice(14, 4, replace=False):
+            words[5 + block * 10] = f"own{i}x{block}"
+        rows.append((i, " ".join(words)))
+    sets = {i: brute.shingle_set(t) for i, t in rows}
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert all(alike(sets[i], sets[5000]) >= 0.75 for i in range(copies)) and alike(sets[0], sets[1]) < 0.75
+    got = found(spark, rows)
+    assert len(got) == copies + 1 and {c for _, _, c in got} == {0}
+
+
+def test_close_pairs_lose_none():
+    """Whatever the sizes of sets and bitmaps, no pair of different components at the threshold is ruled out."""
+    rnd = np.random.default_rng(6)
+    sets = []
+    for size in (1, 3, 15, 17, 60, 64, 70, 500):
+        base = rnd.integers(0, 2**63, 2 * size, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[: size - k * size // 20], base[size : size + k * size // 20]])) for k in range(6)]
+    piece = [k % 2 for k in range(len(sets))]
+    for i, j in ((0, 0), (0, 1)):
+        rows = [k for k in range(len(sets)) if piece[k] in (i, j)]
+        got = near_dups._close_pairs(pa.table({
+            "i": pa.array([i] * len(rows), pa.int32()), "j": pa.array([j] * len(rows), pa.int32()), "node": pa.array([b"%03d" % k for k in rows]),
+            "n": pa.array([len(sets[k]) for k in rows], pa.int64()), "root": pa.array([b"%d" % (k % 5) for k in rows]),
+            "piece": pa.array([piece[k] for k in rows], pa.int32()), "bits": pa.array([near_dups.bitmap(sets[k]).tobytes() for k in rows])}))
+        got = set(zip(got["a"].to_pylist(), got["b"].to_pylist()))
+        want = {(b"%03d" % a, b"%03d" % b) for a in rows for b in rows if a < b and a % 5 != b % 5 and (i == j or piece[a] != piece[b])
+                and 4 * len(set(sets[a]) & set(sets[b])) >= 3 * len(set(sets[a]) | set(sets[b]))}
+        assert want and want <= got and all(x < y for x, y in got)
+
+
 def test_awkward_rows(spark):
     got = found(spark, [(r[0], r[1]) for r in tables.awkward()])
     assert len(got) == len(tables.awkward())
