@@ -36,7 +36,7 @@ from framelens.session import shared_folder
 VERSION = b"WARC/1.1"
 MIN_PAYLOAD = 100
 FILE_BYTES = 64 << 20
-MAX_HEADER = 1 << 16
+HEADER_STEP = 1 << 16  # bytes looked at first for the end of a header
 DATE = "2024-01-01T00:00:00Z"
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
@@ -95,7 +95,7 @@ class Window:
 
 def parse(data: bytes, place: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Header, block and end of the record at ``place``; raises ``Damaged``."""
-    stop = data.find(b"\r\n\r\n", place, place + MAX_HEADER)
+    stop = data.find(b"\r\n\r\n", place)
     if stop < 0:
         raise Damaged("no end of header")
     first, *lines = data[place:stop].split(b"\r\n")
@@ -138,14 +138,27 @@ def _read(window: Window, place: int) -> list[Found]:
             headers, block, inner = parse(data, inner)
             out.append(Found(place, end, headers, block))
         return out
-    head = window.at(place, MAX_HEADER)
-    match = re.search(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", head[: head.find(b"\r\n\r\n") + 2 or None], re.IGNORECASE)
-    if not head.startswith(b"WARC/1.") or match is None:
+    head, stop = _head(window, place)
+    match = re.search(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", head[: stop + 2], re.IGNORECASE)
+    if match is None:
         raise Damaged("no record")
-    headers, block, end = parse(window.at(place, head.find(b"\r\n\r\n") + 8 + int(match[1])))
+    headers, block, end = parse(window.at(place, stop + 8 + int(match[1])))
     return [Found(place, place + end, headers, block)]
 
 
+def _head(window: Window, place: int) -> tuple[bytes, int]:
+    """Bytes from a place on, and where the header in them ends; the look widens while they are a header."""
+    n = HEADER_STEP
+    while True:
+        head = window.at(place, n)
+        stop = head.find(b"\r\n\r\n")
+        if not head.startswith(b"WARC/1.") or stop < 0 and (len(head) < n or any(b":" not in line for line in head.split(b"\r\n")[1:-1])):
+            raise Damaged("no record")
+        if stop >= 0:
+            return head, stop
+        n *= 2
+
+
 def salvage(window: Window) -> Iterator[Found]:
     """All records of a file in order, with the gaps between them."""
     place, gap, reason = 0, None, ""

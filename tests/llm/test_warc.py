@@ -64,3 +64,23 @@ def test_round_trip_of_awkward_pages(spark):
                             ("<urn:page:4>", "response", "", 5), ("<urn:page:5>", "response", "", 5), ("<urn:page:6>", "response", "", 0), ("<urn:page:8>", "response", "", 0),
                             (first, "response", "", 150), ("<urn:page:9>", "response", "", 120)])
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_headers_of_any_length(spark):
+    url = "http://a.example/" + "é漢" * 40_000  # 600 KB in percent signs
+    for plain in (False, True):
+        payload = b"<html>long url</html>"
+        long = warc.record("response", 99, url, payload, hashlib.sha256(payload).hexdigest(), None)
+        files = archive(plain=plain)
+        found = read(b"".join([*files[:3], long if plain else warc.member(long), *files[3:]]))
+        assert ids(found) == [f"<urn:page:{i}>" for i in (0, 1, 2, 99, 3, 4, 5)] and gaps(found) == []
+    pages = spark.createDataFrame([(1, url, "x"), (2, "http://a.example/" + "x" * 200_000, "y" * 150), (3, "u", "y" * 150)], "page_id long, url string, html string")
+    got = warc.round_trip(pages.withColumn("payload", F.encode("html", "UTF-8"))).collect()
+    assert sorted(r.record_id or r.gap for r in got) == [f"<urn:page:{i}>" for i in (1, 2, 3)]
+
+
+def test_long_plain_junk_is_one_gap():
+    parts = archive(plain=True)
+    junk = b"WARC/1.1\r\nname: " + b"x" * 300_000 + b"\r\n"
+    found = read(parts[0] + junk + parts[1] + junk)
+    assert ids(found) == ["<urn:page:0>", "<urn:page:1>"] and [z - a for a, z in gaps(found)] == [len(junk)] * 2
