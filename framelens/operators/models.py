@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions import tensors
+from framelens.operators import network as net
 from framelens.operators.ordering import sized
 from framelens.operators.sampling import episode_split, fit_sample, row_split
 from framelens.operators.scores import probe_scores, union_probes
@@ -204,28 +205,34 @@ def _probe_inputs(split: DataFrame, feature_set: str, feature: str) -> DataFrame
 
 def fit_probe(
     split: DataFrame, feature_set: str, feature: str, targets: dict[str, str], split_mode: str,
-    model: str, alpha: float, width: int = 128, seed: int = 0,
+    model: str, alpha: float, width: int = 128, seed: int = 0, key: str = "idx", network: net.Settings | None = None,
 ) -> DataFrame:
     """Scores of one probe on the held-out rows of a split.
 
-    ``ridge`` is linear. ``relu`` stands for a trained network: a hidden layer of random
-    rectified units, of which the output layer is fitted; all targets share one fit.
+    ``ridge`` is linear. ``mlp`` trains a network per target by gradients. ``relu`` is a cheaper
+    nonlinear probe: a hidden layer of random rectified units, of which the output layer is fitted.
     """
     inputs = _probe_inputs(split, feature_set, feature)
     y = F.concat(*[F.col(c) for c in targets.values()])
-    rows = inputs.select("side", "_x", y.alias("_y"))
+    rows = inputs.select(key, "side", "_x", y.alias("_y"))
     n_train = rows.where("side = 'train'").count()
+    dims = split.select(F.size(next(iter(targets.values())))).first()[0]
     if model == "relu":
         size = rows.select("_x").first()[0].size
         rows = relu_features(rows, "_x", size, max(1, min(width, n_train // 4)), seed, "_lifted")
         rows = rows.select("side", F.col("_lifted").alias("_x"), "_y")
-    elif model != "ridge":
+    elif model not in ("ridge", "mlp"):
         raise ValueError(f"unsupported probe model {model!r}")
     rows = written(split.sparkSession, rows)
-    weights, intercepts = ridge_weights(rows.where("side = 'train'"), "_x", "_y", alpha)
-    test = linear_predictions(rows.where("side = 'test'"), "_x", weights, intercepts, "_p")
+    train, test = rows.where("side = 'train'"), rows.where("side = 'test'")
+    if model == "mlp":
+        settings = network or net.Settings(seed=seed)
+        spans = [(i * dims, (i + 1) * dims) for i in range(len(targets))]
+        test = trained_network(train, "_x", "_y", key, n_train, spans, settings)(test, "_p")
+    else:
+        weights, intercepts = ridge_weights(train, "_x", "_y", alpha)
+        test = linear_predictions(test, "_x", weights, intercepts, "_p")
     names = F.array(*[F.lit(t) for t in targets])
-    dims = split.select(F.size(next(iter(targets.values())))).first()[0]
     long = test.select(F.posexplode(F.arrays_zip(F.col("_y").alias("y"), F.col("_p").alias("p"))).alias("i", "z"))
     return probe_scores(long.select(
         F.lit(model).alias("probe_model"),
@@ -239,10 +246,26 @@ def fit_probe(
     ))
 
 
+def trained_network(train: DataFrame, x: str, y: str, key: str, n: int, spans: list[tuple[int, int]], settings: net.Settings):
+    """Train one network per span of targets on all rows, and return a function that adds predictions.
+
+    Targets are scaled to mean 0 and deviation 1 for training.
+    """
+    m = moments(train, F.col(y)).scalar()
+    scale = train.select(m.alias("m")).first()["m"]
+    shift = np.array(scale["mean"])
+    deviation = np.array([s if s > 0 else 1.0 for s in scale["std"]])
+    scaled = train.withColumn("_m", m).withColumn("_t", tensors.standardized(F.col(y), F.col("_m.mean"), F.col("_m.std")))
+    table, n_batches = net.blocks(scaled, key, x, "_t", n, settings.seed, held_out=n >= 10 * net.HELD_OUT)
+    size = train.select(x).first()[0].size
+    nets = net.train(table, n_batches, size, spans, settings)
+    return lambda rows, out: net.predictions(rows, x, nets, shift, deviation, out)
+
+
 def run_probes(
     rows: DataFrame, features: dict[str, str], targets: dict[str, str], *, n: int | None = None, test_share: float = 0.2,
-    split_mode: str = "episode", models: tuple[str, ...] = ("ridge", "relu"), alpha: float = 1.0, seed: int = 0,
-    key: str = "idx", wide: DataFrame | None = None,
+    split_mode: str = "episode", models: tuple[str, ...] = ("ridge", "mlp"), alpha: float = 1.0, seed: int = 0,
+    key: str = "idx", wide: DataFrame | None = None, network: net.Settings | None = None,
 ) -> DataFrame:
     """Split once, fit every model on every available feature set, and stack the scores.
 
@@ -266,6 +289,6 @@ def run_probes(
         added = [c for c in available.values() if c not in own]
         split = written(rows.sparkSession, wide.select(key, *added).join(sized(split, split.count()), key))
     return union_probes(*[
-        fit_probe(split, name, column, targets, split_mode, model, alpha, seed=seed)
+        fit_probe(split, name, column, targets, split_mode, model, alpha, seed=seed, key=key, network=network)
         for model in models for name, column in available.items()
     ])

@@ -44,7 +44,7 @@ class LatentAnalysis:
     probe_rows: int | None = None
     test_share: float = 0.2
     probe_split: str = "episode"
-    probe_models: tuple[str, ...] = ("ridge", "relu")
+    probe_models: tuple[str, ...] = ("ridge", "mlp")
     ridge_alpha: float = 1.0
     top_k: int = 20
     seed: int = 0

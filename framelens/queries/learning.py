@@ -132,7 +132,7 @@ def ridge_probe(spark, sf):
 
 @query("nonlinear_probe")
 def nonlinear_probe(spark, sf):
-    return probes(spark, sf, {"continuous": "continuous"}, models=("relu",))
+    return probes(spark, sf, {"continuous": "continuous"}, models=("mlp",))
 
 
 @query("run_probes")
