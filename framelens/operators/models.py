@@ -12,7 +12,6 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from framelens.functions import tensors
 from framelens.operators import network as net
+from framelens.operators import wide as wd
 from framelens.operators.ordering import sized
 from framelens.operators.sampling import episode_split, fit_sample, row_split
 from framelens.operators.scores import probe_scores, union_probes
@@ -80,21 +80,24 @@ def principal_plane(
     """Two principal components of a sample: x, y, usage_count and its log10.
 
     ``usage`` names the id column whose usage colours the sample; the counts are looked up
-    for the drawn rows only. Each component points to the side of its largest loading.
+    for the drawn rows only. Each component points to the side of its largest loading. Wide
+    features get their axes by a randomized range finder, so no matrix of width by width is made.
     """
     fit_on = _fit_rows(rows.select(key, feature), fit_rows, key, f"{seed}-fit").select(array_to_vector(feature).alias("_v"))
-    model = PCA(k=2, inputCol="_v", outputCol="_pc").fit(fit_on)
-    loadings = model.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(0), [0, 1]])
-    mean = fit_on.agg(Summarizer.mean(F.col("_v")).alias("m")).select(vector_to_array("m")).scalar()
+    size = fit_on.select("_v").first()[0].size
+    if size <= GRAM_LIMIT:
+        model = PCA(k=2, inputCol="_v", outputCol="_pc").fit(fit_on)
+        axes = model.pc.toArray()
+        axes = axes * np.sign(axes[np.abs(axes).argmax(0), [0, 1]])
+        mean = np.array(fit_on.agg(Summarizer.mean(F.col("_v")).alias("m")).first()["m"].toArray())
+    else:
+        axes, _, mean = wd.principal_axes(fit_on, "_v", 2, seed)
     drawn = _fit_rows(rows.select(key, feature), shown, key, f"{seed}-shown")
     if usage is not None:
         drawn = _with_usage(rows, drawn, usage, key)
-    centred = drawn.withColumn("_m", mean).withColumn("_v", array_to_vector(tensors.difference(F.col(feature), F.col("_m"))))
-    pc = vector_to_array("_pc")
-    out = model.transform(centred).withColumn("x", pc[0] * float(signs[0])).withColumn("y", pc[1] * float(signs[1]))
+    placed = linear_predictions(drawn.withColumn("_v", array_to_vector(feature)), "_v", axes, -mean @ axes, "_pc")
     count = F.lit(1).cast("bigint") if usage is None else F.col("_usage")
-    return out.select(key, "x", "y", count.alias("usage_count"), F.log10(count).alias("log10_usage_count"))
+    return placed.select(key, F.col("_pc")[0].alias("x"), F.col("_pc")[1].alias("y"), count.alias("usage_count"), F.log10(count).alias("log10_usage_count"))
 
 
 def _with_usage(rows: DataFrame, drawn: DataFrame, ids: str, key: str) -> DataFrame:
@@ -138,12 +141,13 @@ def ridge_weights(train: DataFrame, x: str, y: str, alpha: float) -> tuple[np.nd
     """Weights (features x targets) and intercepts of a multi-output ridge regression.
 
     One aggregation gives the Gram matrix of features and targets together; only a matrix of
-    that size is solved on the driver. Wider features are fitted by iterations per target.
+    that size is solved on the driver. Wider features are fitted by conjugate gradients, for all
+    targets at once.
     """
     first = train.select(x, F.size(y).alias("a")).first()
     d, a = first[0].size, first[1]
     if d + a > GRAM_LIMIT:
-        return _iterated_ridge(train, x, y, a, alpha)
+        return wd.ridge(train, x, y, a, alpha)
     joined = train.select(array_to_vector(y).alias("_y"), x)
     joined = VectorAssembler(inputCols=[x, "_y"], outputCol="_xy").transform(joined).select("_xy")
     gram, mean, n = _gram(joined, "_xy")
@@ -152,22 +156,10 @@ def ridge_weights(train: DataFrame, x: str, y: str, alpha: float) -> tuple[np.nd
     return weights, mean[d:] - mean[:d] @ weights
 
 
-def _iterated_ridge(train: DataFrame, x: str, y: str, targets: int, alpha: float):
-    columns, intercepts = [], []
-    for t in range(targets):
-        one = train.select(x, F.col(y)[t].alias("_y"))
-        n, std = one.agg(F.count("_y"), F.coalesce(F.stddev_samp("_y"), F.lit(0.0))).first()
-        fit = LinearRegression(
-            featuresCol=x, labelCol="_y", solver="l-bfgs", standardization=False, tol=1e-10, maxIter=500,
-            regParam=alpha * std / n,
-        ).fit(one)
-        columns.append(fit.coefficients.toArray())
-        intercepts.append(fit.intercept)
-    return np.stack(columns, axis=1), np.array(intercepts)
-
-
 def linear_predictions(rows: DataFrame, x: str, weights: np.ndarray, intercepts: np.ndarray, out: str) -> DataFrame:
-    """Matrix product over Arrow batches."""
+    """Matrix product over Arrow batches; wide vectors are multiplied as they are stored, and dropped."""
+    if len(weights) > GRAM_LIMIT:
+        return wd.products(rows, x, weights, intercepts, out)
 
     @F.pandas_udf("array<double>")
     def predict(features: pd.Series) -> pd.Series:

@@ -17,6 +17,7 @@ from framelens.operators import models as md
 from framelens.operators import sampling as sp
 from framelens.operators import scores as sc
 from framelens.operators import stats as st
+from framelens.operators import wide as wd
 from framelens.sources import datasets
 
 
@@ -363,8 +364,8 @@ def test_ridge_probe_scores_and_weights(spark):
     xc, yc = x - x.mean(0), y - y.mean(0)
     want = np.linalg.solve(xc.T @ xc + 2.0 * np.eye(6), xc.T @ yc)
     assert np.allclose(weights, want) and np.allclose(intercepts, y.mean(0) - x.mean(0) @ want)
-    iterated, _ = md._iterated_ridge(train, "x", "y", 2, 2.0)
-    assert np.allclose(iterated, want, atol=1e-3)
+    iterated, constant = wd.ridge(train, "x", "y", 2, 2.0)
+    assert np.allclose(iterated, want, atol=1e-9) and np.allclose(constant, intercepts, atol=1e-9)
     scores = md.run_probes(rows, {"continuous": "continuous", "ids_onehot": "ids", "absent": "nope"}, {"t": "y"}, models=("ridge",), alpha=1e-3, test_share=0.25)
     got = {(r.feature_set, r.action_dim): r for r in scores.collect()}
     assert len(got) == 4 and got[("continuous", 0)].r2 > 0.9 and got[("continuous", 0)].n_train + got[("continuous", 0)].n_test == 120
