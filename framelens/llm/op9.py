@@ -31,14 +31,17 @@ def _templates(name: str, source: str, columns: str) -> str:
 CONTAMINATION = rf"""
 {_templates("dt", "docs", "rid")},
 {_templates("it", "items", "item_id")},
-dw AS (SELECT rid, i - 1 AS dpos, array_to_string(c[i:i + 5], ' ') AS win FROM (SELECT rid, c, unnest(range(1, len(c) - 4)) AS i FROM dt)),
-iw0 AS (SELECT item_id, i - 1 AS ipos, c[i:i + 5] AS w FROM (SELECT item_id, c, unnest(range(1, len(c) - 4)) AS i FROM it)),
-iw1 AS (SELECT item_id, ipos, array_to_string(w, ' ') AS win FROM iw0
+iw0 AS (
+  SELECT item_id, i - 1 AS ipos, c[i:i + 5] AS w FROM (SELECT item_id, c, unnest(range(1, len(c) - 4)) AS i FROM it)
+  UNION ALL SELECT item_id, 0, c FROM it WHERE len(c) BETWEEN 3 AND 5),
+iw1 AS (SELECT item_id, ipos, len(w) AS size, array_to_string(w, ' ') AS win FROM iw0
         WHERE len(list_filter(w, lambda x: NOT regexp_matches(x, '[\x{{E000}}-\x{{E002}}]'))) >= 3),
+dw AS (SELECT rid, i - 1 AS dpos, size, array_to_string(c[i:i + size - 1], ' ') AS win
+       FROM (SELECT rid, c, size, unnest(range(1, len(c) - size + 2)) AS i FROM dt, (SELECT DISTINCT size FROM iw1))),
 iw AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows FROM iw1),
-found AS (SELECT rid, dpos, item_id, ipos, n_windows, dpos - ipos AS diagonal FROM dw JOIN iw USING (win)),
+found AS (SELECT rid, dpos, item_id, ipos, size, n_windows, dpos - ipos AS diagonal FROM dw JOIN iw USING (size, win)),
 places AS (
-  SELECT DISTINCT rid, item_id, diagonal, ipos + o AS place, dpos + o AS dplace FROM found, range(6) r(o)),
+  SELECT DISTINCT rid, item_id, diagonal, ipos + o AS place, dpos + o AS dplace FROM found, range(6) r(o) WHERE o < size),
 valued AS (
   SELECT p.rid, p.item_id, diagonal, it.v[place + 1] AS item_value, dt.v[dplace + 1] AS doc_value
   FROM places p JOIN dt USING (rid) JOIN it ON it.item_id = p.item_id
@@ -47,12 +50,15 @@ loose AS (
   SELECT rid, item_id, diagonal FROM (
     SELECT rid, item_id, diagonal, item_value, count(DISTINCT doc_value) AS n FROM valued GROUP BY ALL)
   GROUP BY rid, item_id, diagonal HAVING avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) < 0.8),
-covered AS (
-  SELECT rid, item_id, count(DISTINCT ipos) AS n, any_value(n_windows) AS n_windows
-  FROM found f WHERE NOT EXISTS (SELECT 1 FROM loose l WHERE l.rid = f.rid AND l.item_id = f.item_id AND l.diagonal = f.diagonal)
-  GROUP BY rid, item_id),
+held AS (
+  SELECT *, CASE WHEN ipos - lag(ipos) OVER (PARTITION BY rid, item_id, diagonal ORDER BY ipos) > 6 THEN 1 ELSE 0 END AS cut
+  FROM found f WHERE NOT EXISTS (SELECT 1 FROM loose l WHERE l.rid = f.rid AND l.item_id = f.item_id AND l.diagonal = f.diagonal)),
+stretched AS (SELECT *, sum(cut) OVER (PARTITION BY rid, item_id, diagonal ORDER BY ipos ROWS UNBOUNDED PRECEDING) AS stretch FROM held),
+runs AS (SELECT rid, item_id, max(ipos) - min(ipos) + max(size) AS run FROM stretched GROUP BY rid, item_id, diagonal, stretch),
+longest AS (SELECT rid, item_id, max(run) AS run FROM runs GROUP BY rid, item_id),
+covered AS (SELECT rid, item_id, count(DISTINCT ipos) AS n, any_value(n_windows) AS n_windows FROM held GROUP BY rid, item_id),
 leaks AS (SELECT rid, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, count(*) AS n_items
-          FROM covered WHERE n >= n_windows * 0.4 GROUP BY rid)
+          FROM covered JOIN longest USING (rid, item_id) WHERE n >= n_windows * 0.4 OR run >= 13 GROUP BY rid)
 """
 
 SQL = f"""

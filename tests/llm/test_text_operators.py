@@ -150,3 +150,24 @@ def test_preference_pairs_of_a_hot_opening(spark):
     out = preference.pairs_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted(r.conv_id for r in out) == list(range(50))
     assert {r.chosen_id for r in out} == {0}
+
+
+def test_decontamination_of_long_excerpts_and_short_items(spark):
+    long, near = tables.prose(77, 500), tables.prose(78, 60)
+    words = long.split()
+    items = spark.createDataFrame([(1, long), (2, "zorblat quimber festoon wagglet prindle"), (3, "too short"), (None, tables.prose(79, 30))], "item_id long, text string")
+    around = lambda seed, mid: f"{tables.prose(seed, 40)} {mid} {tables.prose(seed + 1, 40)}"
+    rows = [around(10, " ".join(words[200:390])), around(20, " ".join(words[7:20])), around(30, " ".join(words[50:60])),
+            around(40, "zorblat, quimber festoon wagglet prindle!"), around(50, "quimber festoon wagglet prindle"), near, "too short", tables.prose(79, 30)]
+    found = {r.doc_id: r._items for r in decontam.contamination(docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(rows)]), items).collect()}
+    assert found == {0: [1], 1: [1], 2: None, 3: [2], 4: None, 5: None, 6: None, 7: [None]}
+
+
+def test_decontamination_reads_each_template_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(decontam.common, "stored", lambda df, f=decontam.common.stored: (made.append(df), f(df))[1])
+    items = spark.createDataFrame([(1, tables.prose(5, 40))], "item_id long, text string")
+    decontam.hits(docs(spark), items)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in made]
+    over_documents = [p for p in plans if "LogicalRDD" in p and "regexp_replace" in p and "doc_id" in p]
+    assert len(over_documents) <= 2  # all documents once, and those with hits
