@@ -48,27 +48,30 @@ def nearest_code(
     return tokens.join(hits, key)
 
 
-def _search(tokens: DataFrame, vector: str, ids: np.ndarray, codes: np.ndarray) -> DataFrame:
+def nearest(x: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Id and squared distance of the nearest code of each row of ``x``; ids ascend, the lowest wins a tie."""
     centre = codes.mean(0) if len(codes) else 0.0  # far offsets would cancel in the expanded square
-    near = codes - centre
+    near, y = codes - centre, x - centre
     norms = (near * near).sum(1)
     slack = 8 * np.finfo(float).eps * max(codes.shape[-1], 1)
+    own = (y * y).sum(1)[:, None]
+    squared = own - 2 * (y @ near.T) + norms[None, :]
+    hit = squared.argmin(1)
+    # Candidates within the rounding error are decided by exact differences, as in blocks.
+    close = squared <= squared.min(1)[:, None] + slack * (own + norms[None, :])
+    for i in np.flatnonzero(close.sum(1) > 1):
+        few = np.flatnonzero(close[i])
+        hit[i] = few[_differences(x[i], codes[few]).argmin()]
+    return ids[hit], _differences(x, codes[hit])
+
 
+def _search(tokens: DataFrame, vector: str, ids: np.ndarray, codes: np.ndarray) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            y = x - centre
-            own = (y * y).sum(1)[:, None]
-            squared = own - 2 * (y @ near.T) + norms[None, :]
-            hit = squared.argmin(1)
-            # Candidates within the rounding error are decided by exact differences, as in blocks.
-            close = squared <= squared.min(1)[:, None] + slack * (own + norms[None, :])
-            for i in np.flatnonzero(close.sum(1) > 1):
-                few = np.flatnonzero(close[i])
-                hit[i] = few[_differences(x[i], codes[few]).argmin()]
-            yield pdf.assign(code_id=ids[hit], sq_distance=_differences(x, codes[hit]))
+            hit, squared = nearest(np.stack(pdf[vector].to_numpy()).astype(np.float64), ids, codes)
+            yield pdf.assign(code_id=hit, sq_distance=squared)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
     return tokens.mapInPandas(find, f"{fields}, code_id bigint, sq_distance double")

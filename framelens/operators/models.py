@@ -9,7 +9,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions import tensors
+from framelens.operators import clusters as cl
 from framelens.operators import network as net
 from framelens.operators import wide as wd
 from framelens.operators.ordering import sized
@@ -52,26 +52,43 @@ def _fit_rows(rows: DataFrame, n: int | None, key: str, seed: int | str) -> Data
     return rows if n is None else written(rows.sparkSession, fit_sample(rows, n, key, seed))
 
 
+def scaled_clusters(rows: DataFrame, feature: str, centres: DataFrame, mean: list[float], std: list[float], prefix: str) -> DataFrame:
+    """Rows with ``bucket`` (number of the nearest scaled centre, the lowest on ties) and ``bucket_label``.
+
+    ``centres`` is a stored table of ``code_id`` (0, 1, ...) and ``code``, on the scale of (x - mean) / std.
+    """
+    own = np.array([r.code for r in centres.orderBy("code_id").collect()])  # as many as clusters were asked for
+    scaled = tensors.standardized(F.col(feature), F.array(*map(F.lit, mean)), F.array(*map(F.lit, std)))
+    return cl.assigned(rows, scaled, own, "bucket").withColumn("bucket_label", F.concat(F.lit(prefix), F.col("bucket").cast("string")))
+
+
+def kmeans_centres(
+    rows: DataFrame, feature: str, clusters: int, fit_rows: int | None, key: str, seed: int
+) -> tuple[DataFrame, list[float], list[float], int]:
+    """Stored centres (``code_id``, ``code``), the mean and deviation they are scaled by, and the number of rows.
+
+    Mini-batches move the centres; a cap on fit rows draws a sample first.
+    """
+    n = rows.count()
+    sample = _fit_rows(rows.select(key, feature), fit_rows, key, seed)
+    m = moments(sample, F.col(feature)).first()["m"]
+    scaled = sample.select(key, tensors.standardized(F.col(feature), F.array(*map(F.lit, m["mean"])), F.array(*map(F.lit, m["std"]))).alias("_x"))
+    found = cl.fit(scaled, key, "_x", min(clusters, n), n if fit_rows is None else min(fit_rows, n), cl.Fit(seed=seed))
+    centres = rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(found)], "code_id bigint, code array<double>")
+    return written(rows.sparkSession, centres), m["mean"], m["std"], n
+
+
 def kmeans_buckets(
     rows: DataFrame, feature: str, clusters: int, fit_rows: int | None, key: str, seed: int, prefix: str
 ) -> tuple[DataFrame, DataFrame]:
     """Assigned rows (``bucket``, ``bucket_label``) and one summary row with the center norms."""
-    n = rows.count()
-    k = min(clusters, n)
-    sample = _fit_rows(rows.select(key, feature), fit_rows, key, seed)
-    scaled = standardize(rows, feature, sample, "_scaled").withColumn("_v", array_to_vector("_scaled"))
-    fit_on = standardize(sample, feature, sample, "_scaled").select(array_to_vector("_scaled").alias("_v"))
-    model = KMeans(featuresCol="_v", predictionCol="_cluster", k=k, seed=seed, maxIter=100).fit(fit_on)
-    assigned = model.transform(scaled).withColumn("bucket", F.col("_cluster").cast("bigint")).withColumn(
-        "bucket_label", F.concat(F.lit(prefix), F.col("bucket").cast("string"))
-    ).drop("_v", "_scaled", "_cluster")
-    norms = np.linalg.norm(np.asarray(model.clusterCenters()), axis=1)
-    summary = rows.sparkSession.createDataFrame(
-        [(n if fit_rows is None else min(fit_rows, n), clusters, k, float(norms.mean()), float(norms.std()))],
-        "fit_rows bigint, requested_clusters bigint, effective_clusters bigint, "
-        "cluster_center_l2_norm_mean double, cluster_center_l2_norm_std double",
-    )
-    return assigned, summary
+    centres, mean, std, n = kmeans_centres(rows, feature, clusters, fit_rows, key, seed)
+    norm = tensors.l2_norm(F.col("code"))
+    fitted = n if fit_rows is None else min(fit_rows, n)
+    summary = centres.agg(F.avg(norm).alias("mean"), F.stddev_pop(norm).alias("std")).select(
+        F.lit(fitted).cast("bigint").alias("fit_rows"), F.lit(clusters).cast("bigint").alias("requested_clusters"),
+        F.lit(min(clusters, n)).cast("bigint").alias("effective_clusters"), F.col("mean").alias("cluster_center_l2_norm_mean"), F.col("std").alias("cluster_center_l2_norm_std"))
+    return scaled_clusters(rows, feature, centres, mean, std, prefix), summary
 
 
 def principal_plane(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from framelens.functions import tensors
 from framelens.operators import frames as fr
 from framelens.operators import models as md
 from framelens.operators import sampling as sp
@@ -107,6 +109,24 @@ def kmeans_action_buckets(spark, sf):
     return out
 
 
+@query("kmeans_latent_assignment", """
+, cb AS (SELECT label AS code_id, list(m ORDER BY p) AS code FROM (SELECT label, p, avg(e[p + 1]) AS m FROM lat, range(64) r(p) GROUP BY ALL) GROUP BY label),
+sp AS (SELECT p, avg(e[p + 1]) AS m, stddev_pop(e[p + 1]) AS s FROM v, range(64) r(p) GROUP BY p),
+sl AS (SELECT list(m ORDER BY p) AS m, list(s ORDER BY p) AS s FROM sp),
+cz AS (SELECT row_number() OVER (ORDER BY code_id) - 1 AS bucket, list_transform(range(1, 65), lambda i: (code[i] - m[i]) / s[i]) AS c FROM cb, sl),
+vz AS (SELECT idx, list_transform(range(1, 65), lambda i: (e[i] - m[i]) / s[i]) AS z FROM v, sl),
+am AS (SELECT idx, arg_min(bucket, list_distance(z, c)) AS bucket FROM vz, cz GROUP BY idx)
+SELECT idx, bucket, 'cluster_' || bucket AS bucket_label FROM am""")
+def kmeans_latent_assignment(spark, sf):
+    """The assignment of a cluster fit, for given centres: the mean label vectors, scaled like the rows."""
+    rows = fr.valid_rows(T.labeled_frames(spark, sf)).select("idx", "continuous")
+    m = md.moments(rows, F.col("continuous")).first()["m"]
+    place = F.row_number().over(Window.orderBy("code_id")) - 1  # one row per code
+    scaled = tensors.standardized(F.col("code"), F.array(*map(F.lit, m["mean"])), F.array(*map(F.lit, m["std"])))
+    centres = written(spark, T.codebook(spark, sf).select(place.cast("bigint").alias("code_id"), scaled.alias("code")))
+    return md.scaled_clusters(rows, "continuous", centres, m["mean"], m["std"], "cluster_").select("idx", "bucket", "bucket_label")
+
+
 @query("one_hot_ids", BUDGET_SQL + """
 , tr AS (SELECT DISTINCT CAST(p AS BIGINT) AS p, CAST(ids[p + 1] AS VARCHAR) AS token FROM vt JOIN es USING (episode_index), range(4) r(p) WHERE side = 'train'),
 vc AS (SELECT p, token, row_number() OVER (ORDER BY p, token) - 1 AS col FROM tr)
