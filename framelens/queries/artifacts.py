@@ -180,19 +180,22 @@ def write_scores_parquet(spark, sf):
 
 
 @query("backfill_stats_job", ds.STATS_SQL + """
-, even AS (SELECT p, e[p + 1] AS x FROM v, range(64) r(p) WHERE episode_index % 2 = 0),
-w2 AS (SELECT 'latent_labels.continuous' AS feature, CAST(p AS BIGINT) AS pos, min(x) AS min, max(x) AS max, avg(x) AS mean, stddev_pop(x) AS std, CAST(count(*) AS DOUBLE) AS count,
+, pel AS (SELECT CASE WHEN episode_index % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, p, e[p + 1] AS x FROM v, range(64) r(p)),
+w2 AS (SELECT dataset, 'latent_labels.continuous' AS feature, CAST(p AS BIGINT) AS pos, min(x) AS min, max(x) AS max, avg(x) AS mean, stddev_pop(x) AS std, CAST(count(*) AS DOUBLE) AS count,
       quantile_cont(x, 0.01) AS q01, quantile_cont(x, 0.1) AS q10, quantile_cont(x, 0.5) AS q50,
-      quantile_cont(x, 0.9) AS q90, quantile_cont(x, 0.99) AS q99 FROM even GROUP BY ALL)
-SELECT feature, pos, stat, round(value, 6) AS value FROM (UNPIVOT w2 ON min, max, mean, std, count, q01, q10, q50, q90, q99 INTO NAME stat VALUE value)
-UNION ALL SELECT 'action', 0, 'mean', round(avg(a0), 6) FROM frames""")
+      quantile_cont(x, 0.9) AS q90, quantile_cont(x, 0.99) AS q99 FROM pel GROUP BY ALL)
+SELECT dataset, feature, pos, stat, round(value, 6) AS value FROM (UNPIVOT w2 ON min, max, mean, std, count, q01, q10, q50, q90, q99 INTO NAME stat VALUE value)
+UNION ALL SELECT dataset, 'action', 0, 'mean', round(avg(a0), 6) FROM frames, (VALUES ('even'), ('odd')) d(dataset) GROUP BY dataset""")
 def backfill_stats_job(spark, sf):
-    root = slim_roots(spark, sf)[0]
+    """Statistics of both exported datasets, merged over stale ones of an action and of the labels."""
     action = T.frames(spark, sf).agg(F.avg(F.col("action")[0]).alias("value"))
     stale = action.select(F.explode(F.array(F.lit("action"), F.lit(f"{PREFIX}.continuous"))).alias("feature"),
                           F.lit(0).alias("pos"), F.lit("mean").alias("stat"), "value")
-    merged, _ = labeling.backfill_stats(root, spark, PREFIX, stale)
-    return rounded(merged.withColumn("pos", F.col("pos").cast("bigint")), "value")
+    out = None
+    for name, root in zip(PARITIES, slim_roots(spark, sf)):
+        merged = labeling.backfill_stats(root, spark, PREFIX, stale)[0].withColumn("dataset", F.lit(name))
+        out = merged if out is None else out.unionByName(merged)
+    return rounded(out.withColumn("pos", F.col("pos").cast("bigint")), "value")
 
 
 # ---- catalogs derived from the events: a dataset is one user on one day ----------------------

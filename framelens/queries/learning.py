@@ -52,12 +52,26 @@ def select_episodes_to_budget(spark, sf):
     return sp.episodes_to_budget(T.valid_frames(spark, sf), 2000, 9)
 
 
+@query("episode_split", BUDGET_SQL + "SELECT idx, episode_index, side FROM vt JOIN es USING (episode_index)")
+def episode_split(spark, sf):
+    """The split of a budget of rows."""
+    return sp.episode_split(T.valid_frames(spark, sf), 2000, SHARE, 9).select("idx", "episode_index", "side")
+
+
+SPLIT_SQL = f"""
+, ee AS (SELECT DISTINCT episode_index FROM vt),
+es AS (SELECT episode_index, CASE WHEN row_number() OVER (ORDER BY {md5('episode_index', '9-split')}, episode_index) <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ())
+   THEN 'test' ELSE 'train' END AS side FROM ee)
+"""
+
+
 def split_rows(spark, sf):
-    return sp.episode_split(T.valid_frames(spark, sf), 2000, SHARE, 9)
+    """All valid frames, split by episode."""
+    return sp.episode_split(T.valid_frames(spark, sf), None, SHARE, 9)
 
 
-@query("episode_split", BUDGET_SQL + "SELECT idx, episode_index, side FROM vt JOIN es USING (episode_index)")
-def episode_split(spark, sf):
+@query("episode_split_all", SPLIT_SQL + "SELECT idx, episode_index, side FROM vt JOIN es USING (episode_index)")
+def episode_split_all(spark, sf):
     return split_rows(spark, sf).select("idx", "episode_index", "side")
 
 
@@ -83,7 +97,7 @@ def fit_subsample(spark, sf):
     return scaled(rows, sp.fit_sample(rows, 700, "idx", 13))
 
 
-@query("standardize", BUDGET_SQL + f"""
+@query("standardize", SPLIT_SQL + f"""
 , m AS (SELECT {MOMENTS} FROM vt JOIN es USING (episode_index) WHERE side = 'train') {SCALED}""")
 def standardize(spark, sf):
     return scaled(T.valid_frames(spark, sf), split_rows(spark, sf).where("side = 'train'"))
@@ -127,7 +141,7 @@ def kmeans_latent_assignment(spark, sf):
     return md.scaled_clusters(rows, "continuous", centres, m["mean"], m["std"], "cluster_").select("idx", "bucket", "bucket_label")
 
 
-@query("one_hot_ids", BUDGET_SQL + """
+@query("one_hot_ids", SPLIT_SQL + """
 , tr AS (SELECT DISTINCT CAST(p AS BIGINT) AS p, CAST(ids[p + 1] AS VARCHAR) AS token FROM vt JOIN es USING (episode_index), range(4) r(p) WHERE side = 'train'),
 vc AS (SELECT p, token, row_number() OVER (ORDER BY p, token) - 1 AS col FROM tr)
 SELECT idx, col AS "column" FROM vt, range(4) r(q) JOIN vc ON vc.p = q AND vc.token = CAST(ids[q + 1] AS VARCHAR)""")
@@ -160,7 +174,7 @@ def run_probes(spark, sf):
     return probes(spark, sf, FEATURES, split_mode="row")
 
 
-@query("ridge_probe_two_features", BUDGET_SQL + """
+@query("ridge_probe_two_features", SPLIT_SQL + """
 , r AS (SELECT vt.*, es.side FROM vt JOIN es USING (episode_index)),
 m AS (SELECT avg(a0) AS m0, avg(a1) AS m1, stddev_pop(a0) AS s0, stddev_pop(a1) AS s1 FROM r WHERE side = 'train'),
 z AS (SELECT side, (a0 - m0) / s0 AS z0, (a1 - m1) / s1 AS z1, f0, f1, f2 FROM r, m),
@@ -184,7 +198,7 @@ def ridge_probe_two_features(spark, sf):
 
 # ---- scoring of given predictions ----------------------------------------------------------
 
-PREDICTIONS_SQL = BUDGET_SQL + """
+PREDICTIONS_SQL = SPLIT_SQL + """
 , r AS (SELECT vt.*, es.side FROM vt JOIN es USING (episode_index)),
 b AS (SELECT 'action' AS feature_set, 'future_action_mean' AS target, [f0, f1, f2] AS y, [a0, a1, a2] AS x FROM r WHERE side = 'test'
    UNION ALL SELECT 'future', 'current_action', [a0, a1, a2], [f0, f1, f2] FROM r WHERE side = 'test'),

@@ -1,12 +1,13 @@
 """Dataset folders: descriptions, scans, labeled outputs, manifests and result tables.
 
 A dataset is a folder with parquet files under ``data`` and descriptions under ``meta``.
-Descriptions, manifests and registries are written as JSON part files by Spark, so appends
-need no lock and any executor can write.
+A description is one JSON file; manifests and registries are JSON lines written by Spark.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,8 +112,12 @@ def write_mode(force: bool) -> str:
 
 
 def write_description(spark: SparkSession, root: str, row: DataFrame, force: bool = False) -> None:
-    """One JSON description; ``row`` is a single row of the description columns."""
-    row.coalesce(1).write.mode(write_mode(force)).json(f"{root}/meta/info.json")
+    """The description as one JSON file; ``row`` is a single row of the description columns."""
+    path = f"{root}/meta/info.json"
+    if not force and _exists(spark, path):
+        raise FileExistsError(f"{path} exists already")
+    line = row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("v")).first()["v"]
+    write_text(spark, path, json.dumps(json.loads(line), indent=1, sort_keys=True) + "\n")
 
 
 def write_labeled(
@@ -256,6 +261,22 @@ def parent_manifests(spark: SparkSession, roots: list[str], schema: str) -> Data
     return both.withColumn("manifest_path", kept).drop("_priority", "_name", "_rank")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _filesystem(spark: SparkSession, path: str):
+    """The path and its file system, through Spark's own access to the store."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    """A small text file; with ``overwrite`` off, creating a file that exists fails."""
+    p, fs = _filesystem(spark, path)
+    out = fs.create(p, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _filesystem(spark, path)
+    return fs.exists(p)
