@@ -17,7 +17,7 @@ from framelens.queries.registry import query, r6, rounded
 from framelens.queries.scoring import cosine_scores, losses, PAIRS_SQL
 from framelens.operators.scores import headline
 from framelens.session import shared_folder
-from framelens.sources import datasets
+from framelens.sources import datasets, frame_files
 from framelens.sources import tables as T
 
 PREFIX = fixed.DEFAULT_LABEL_PREFIX
@@ -64,6 +64,19 @@ def scan_frames(spark, sf):
     return datasets.scan_frames(spark, root, schema)
 
 
+@query("scan_episode_files", """
+SELECT idx, episode_index, frame_index, CASE WHEN episode_index % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset FROM frames
+WHERE episode_index IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def scan_episode_files(spark, sf):
+    """Wanted episodes of stored datasets, from the files that can hold them."""
+    wanted = T.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("long").alias("episode_index"))
+    out = None
+    for name, root in zip(PARITIES, slim_roots(spark, sf)):
+        rows = frame_files.scan_episodes(spark, root, wanted).select(F.col("index").alias("idx"), "episode_index", "frame_index", F.lit(name).alias("dataset"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("coerce_feature_column", """
 SELECT idx, valid, valid = 1 AS flag, task_index, CAST(p AS BIGINT) AS row, round(e[16 * p + 1], 6) AS x0 FROM lf, range(4) r(p)""")
 def coerce_feature_column(spark, sf):
