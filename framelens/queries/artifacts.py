@@ -11,13 +11,15 @@ from framelens.operators import catalog as ct
 from framelens.operators import frames as fr
 from framelens.operators import labelers as lab
 from framelens.operators import labels as lb
+from framelens.operators import states as st
 from framelens.plans import labeling
 from framelens.queries import distribution as ds
 from framelens.queries.registry import query, r6, rounded
 from framelens.queries.scoring import cosine_scores, losses, PAIRS_SQL
 from framelens.operators.scores import headline
-from framelens.session import shared_folder
+from framelens.session import shared_folder, written
 from framelens.sources import datasets, frame_files
+from framelens.sources import registry as artifact_registry
 from framelens.sources import tables as T
 
 PREFIX = fixed.DEFAULT_LABEL_PREFIX
@@ -149,9 +151,9 @@ def register_artifact(spark, sf):
     now = text.utc_text(F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))
     registered = datasets.with_registration(rows, path, text.registry_location([path], "runs"), now)
     registry = shared_folder(spark)
-    datasets.register(registered.where("dataset = 'even'"), registry)
-    datasets.register(registered.where("dataset = 'odd'"), registry)
-    return datasets.parse_manifests(spark.read.text(registry), MANIFEST_SCHEMA).select(
+    artifact_registry.register(registered.where("dataset = 'even'"), registry)
+    artifact_registry.register(registered.where("dataset = 'odd'"), registry)
+    return datasets.parse_manifests(artifact_registry.records(spark, registry), MANIFEST_SCHEMA).select(
         "dataset", "num_rows", "num_valid_labels", "artifact_id", "artifact_schema_version", "created_at", "manifest_path", "registry_path")
 
 
@@ -211,6 +213,50 @@ def backfill_stats_job(spark, sf):
     return rounded(out.withColumn("pos", F.col("pos").cast("bigint")), "value")
 
 
+def _stored_states(spark, sf):
+    """States of both exported datasets, written into their folders and read from there."""
+    parts = None
+    for name, root in zip(PARITIES, slim_roots(spark, sf)):
+        valid = datasets.scan_frames(spark, root).where(F.col(f"`{PREFIX}.valid`") == 1)
+        labels, ids = F.col(f"`{PREFIX}.continuous`"), F.col(f"`{PREFIX}.ids`")
+        st.feature_state(valid, {f"{PREFIX}.continuous": labels}).write.parquet(f"{root}/meta/state/features")
+        st.distinct_state(valid, ids).write.parquet(f"{root}/meta/state/sequences")
+        one = [spark.read.parquet(f"{root}/meta/state/{k}").withColumn("dataset", F.lit(name)) for k in ("features", "sequences")]
+        parts = one if parts is None else [a.unionByName(b) for a, b in zip(parts, one)]
+    return parts
+
+
+@query("merge_feature_states", """
+, el AS (SELECT p, e[p + 1] AS x FROM v, range(64) r(p))
+SELECT 'latent_labels.continuous' AS feature, CAST(p AS BIGINT) AS pos, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std,
+  round(min(x), 6) AS low, round(max(x), 6) AS high, CAST(5 AS BIGINT) AS quantiles_within_bound FROM el GROUP BY p""")
+def merge_feature_states(spark, sf):
+    """Statistics of both datasets from their states; the ranks of the sketches' quantiles are counted in the rows."""
+    states = written(spark, st.merged(_stored_states(spark, sf)[0], ["feature", "pos"]))
+    probs = fixed.STAT_QUANTILES
+    wide = states.select("feature", "pos", "n", "mean", F.sqrt(F.col("m2") / F.col("n")).alias("std"), "low", "high", F.array(*st.quantiles(probs)).alias("q"))
+    rows = fr.valid_rows(T.labeled_frames(spark, sf)).select(F.posexplode("continuous").alias("pos", "x"))
+    below = rows.join(F.broadcast(wide.select("pos", "q")), "pos").groupBy("pos").agg(  # one row per position
+        *[F.count_if(F.col("x") < F.col("q")[i]).alias(f"b{i}") for i in range(len(probs))], *[F.count_if(F.col("x") <= F.col("q")[i]).alias(f"t{i}") for i in range(len(probs))])
+    bound = st.rank_error()
+    within = [((F.col(f"b{i}") <= (p + bound) * F.col("n")) & (F.col(f"t{i}") >= (p - bound) * F.col("n"))).cast("bigint") for i, p in enumerate(probs.values())]
+    out = wide.join(below, "pos").withColumn("quantiles_within_bound", sum(within[1:], within[0]))
+    return rounded(out.select("feature", F.col("pos").cast("bigint").alias("pos"), "n", "mean", "std", "low", "high", "quantiles_within_bound"), "mean", "std", "low", "high")
+
+
+@query("merge_distinct_states", """
+, d AS (SELECT DISTINCT CASE WHEN episode_index % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, seq FROM v)
+SELECT (SELECT count(*) FROM d WHERE dataset = 'even') AS even, (SELECT count(*) FROM d WHERE dataset = 'odd') AS odd, (SELECT count(DISTINCT seq) FROM d) AS both_together,
+  (SELECT count(*) FROM d a JOIN d b USING (seq) WHERE a.dataset = 'even' AND b.dataset = 'odd') AS shared, (SELECT count(*) FROM v) AS row_count""")
+def merge_distinct_states(spark, sf):
+    """Different id sequences of both datasets, of their union and overlap, from stored sketches (exact below their size)."""
+    states = written(spark, _stored_states(spark, sf)[1])
+    each = states.groupBy().pivot("dataset", list(PARITIES)).agg(F.first(st.distinct_count()))
+    union = st.distinct_union(states).select(st.distinct_count().alias("both_together"), F.col("rows").alias("row_count"))
+    return each.crossJoin(union).crossJoin(st.overlaps(states, "dataset").select("shared")).select(  # one row each
+        "even", "odd", "both_together", "shared", "row_count")
+
+
 # ---- catalogs derived from the events: a dataset is one user on one day ----------------------
 
 CATALOG_SQL = """
