@@ -22,6 +22,6 @@ def op2_warc(spark, sf_dir):
     pages = common.table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("payload", F.encode("html", "UTF-8"))
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1)
     page = lambda c: F.when(number(c) != "", number(c)).cast("long")
-    return warc.round_trip(pages).where("gap is null").select(
+    return warc.round_trip(pages).select(
         page(F.col("record_id")).alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
         "record_type", page(F.col("refers_to")).alias("refers_to"))

@@ -267,6 +267,14 @@ def read_archives(paths: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages to the shared folder and read the records back."""
+    """Stored places, types and digests of the records of all pages, written to the shared folder and read back.
+
+    Every record written must come back: another number of records, or a gap, fails the job.
+    """
     files = write_archives(pages, shared_folder(pages.sparkSession))
-    return read_archives(files.repartition("path"))
+    wrote = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    found = common.stored(read_archives(files.repartition("path")).drop("payload"))
+    counts = found.agg(F.count_if(F.col("gap").isNull()).alias("records"), F.count("gap").alias("gaps")).first()
+    if (counts.records, counts.gaps) != (wrote, 0):
+        raise RuntimeError(f"{wrote} records were written, {counts.records} records and {counts.gaps} gaps were read")
+    return found

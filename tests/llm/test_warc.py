@@ -84,3 +84,19 @@ def test_long_plain_junk_is_one_gap():
     junk = b"WARC/1.1\r\nname: " + b"x" * 300_000 + b"\r\n"
     found = read(parts[0] + junk + parts[1] + junk)
     assert ids(found) == ["<urn:page:0>", "<urn:page:1>"] and [z - a for a, z in gaps(found)] == [len(junk)] * 2
+
+
+def test_every_record_written_must_come_back(spark, monkeypatch):
+    import pytest
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} ".encode() * 30) for i in range(20)], "page_id long, url string, payload binary")
+    assert warc.round_trip(pages).count() == 20
+    whole = warc.write_archives
+
+    def lossy(*args):
+        files = whole(*args)
+        return files.withColumn("records", files.records + 1)  # as if a record had been lost
+
+    monkeypatch.setattr(warc, "write_archives", lossy)
+    with pytest.raises(RuntimeError, match="were written"):
+        warc.round_trip(pages)
