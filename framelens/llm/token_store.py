@@ -19,6 +19,7 @@ import os
 import zlib
 from array import array
 from functools import cache
+from unicodedata import category, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def ends_in_letter(word: str) -> bool:
+    """Whether the word still ends in a letter after the tokenizer's normalization, which may split
+    a letter into a base and a mark; a mark would go with the punctuation that follows it."""
+    if not word or not word[-1].isalpha():
+        return False
+    return word.isascii() or category(normalize("NFC", word).lower()[-1])[0] == "L"
+
+
 class Encoder:
     """Encodes texts piece by piece; pieces in recent use are remembered, in two generations."""
 
@@ -69,7 +78,7 @@ class Encoder:
             known[p] = older[p]
         rest = new.difference(known)
         # A comma or full stop after a letter is a token of its own: encode the word without it.
-        ended = {p for p in rest if len(p) > 1 and p[-1] in ",." and p[-2].isalpha()}
+        ended = {p for p in rest if p[-1:] in (",", ".") and ends_in_letter(p[:-1])}
         plain = (rest - ended) | ({p[:-1] for p in ended} | {",", "."}).difference(known)
         letters = [p for p in plain if p.isalpha()]
         if letters:  # one word each, so their ids in one text end where a token ends a word
