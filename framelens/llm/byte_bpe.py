@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a ranks file.
 
 Pre-tokens are merged with a queue by rank: one bucket of linked-list positions per merge rank,
-and a bitmap of three levels whose first set bit is the lowest rank with entries. A merge pushes
+and a bitmap of two levels whose first set bits give the lowest rank with entries. A merge pushes
 the two new pairs around it; entries whose pair has changed meanwhile are skipped when popped.
 So a pre-token of n bytes costs O(n log n), however long it is, and bytes are never re-scanned.
 
@@ -48,10 +48,10 @@ class Pieces(dict):
     def __init__(self, make, size: int, lead: str = ""):
         self.make, self.size, self.lead, self.older = make, size, lead, {}
 
-    def __missing__(self, text: str) -> bytes:
+    def __missing__(self, text: str | bytes) -> bytes:
         found = self.older.get(text)
         if found is None:
-            found = self.make(self.lead + text)
+            found = self.make(self.lead + text if self.lead else text)
         if len(text) <= 64:
             if len(self) >= self.size:
                 self.older = dict(self)
@@ -60,31 +60,49 @@ class Pieces(dict):
         return found
 
 
+def plain_word(text: str) -> bool:
+    """Letters of the Latin blocks only, on which all versions of Unicode agree."""
+    return text.isalpha() and max(text) < "\u0250"
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         most = max(ranks.values()) + 1
-        self.low, self.middle = [0] * (most // 64 + 1), [0] * (most // 4096 + 1)  # all zero between calls
+        self.low = [0] * (most // 64 + 1)  # all zero between calls
         spaced = pattern.replace("[^\\s", f"[^{SPACE_CLASS}").replace("\\S", f"[^{SPACE_CLASS}]").replace("\\s", f"[{SPACE_CLASS}]")
         self.split = regex.compile(spaced).findall
         self.unsafe = re.compile(f"[{SPACE_CLASS}] (?=[{SPACE_CLASS}]|\\Z)").search
         self.cut = re.compile(f"(?<=[^{SPACE_CLASS}])(?= [^{SPACE_CLASS}])").split
         self.pretokens = Pieces(lambda word: np.array(self.merge(word.encode()), "<u4").tobytes(), REMEMBERED)
-        self.pieces = Pieces(lambda text: b"".join([self.pretokens[w] for w in self.split(text)]), REMEMBERED // 2, " ")
+        self.spelled = Pieces(lambda ids: self.decode(np.frombuffer(ids, "<u4").tolist()), REMEMBERED // 2)
+        self.words_are_whole = "| ?\\p{L}+|" in pattern  # a run of letters and a space before it are one match
+        self.pieces = Pieces(self._piece, REMEMBERED // 2, " ")
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of a text between two cuts. Plain words, with or without a mark behind, need no pattern."""
+        if self.words_are_whole:
+            word = text[1:] if text[:1] == " " else text
+            if word[-1:] in (",", "."):
+                if plain_word(word[:-1]):
+                    return self.pretokens[text[:-1]] + self.pretokens[word[-1]]
+            elif plain_word(word):
+                return np.array(self.merge(text.encode()), "<u4").tobytes()
+        return b"".join([self.pretokens[w] for w in self.split(text)])
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token, by a queue of its pairs.
 
         ``buckets`` holds the positions of the pairs of each rank; bit r of ``low``, of 64-bit
-        words, marks a rank with entries, ``middle`` marks words of ``low`` and ``top`` words of
-        ``middle``, so the lowest rank is three times the first set bit.
+        words, marks a rank with entries, and ``top`` the words of ``low`` with a bit, so the
+        lowest rank is twice the first set bit.
         """
         rank_of = self.ranks.get
         whole = rank_of(piece)
         if whole is not None:
             return [whole]
-        n, low, middle, top = len(piece), self.low, self.middle, 0
+        n, low, top = len(piece), self.low, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         current = [-1] * n  # rank of the pair that starts here; -1: none
         buckets: dict[int, list[int]] = {}
@@ -101,15 +119,14 @@ class Codec:
                     heappush(bucket, start)
                     continue
                 buckets[rank] = [start]
-                word, group = rank >> 6, rank >> 12
+                word = rank >> 6
+                if not low[word]:
+                    top |= 1 << word
                 low[word] |= 1 << (rank & 63)
-                middle[group] |= 1 << (word & 63)
-                top |= 1 << group
             at = -1
             while top:
-                group = (top & -top).bit_length() - 1
-                bits = middle[group]
-                word = (group << 6) + (bits & -bits).bit_length() - 1
+                lowest = top & -top
+                word = lowest.bit_length() - 1
                 bits = low[word]
                 first = bits & -bits
                 rank = (word << 6) + first.bit_length() - 1
@@ -118,9 +135,7 @@ class Codec:
                 if not bucket:
                     low[word] = bits ^ first
                     if bits == first:
-                        middle[group] ^= 1 << (word & 63)
-                        if not middle[group]:
-                            top ^= 1 << group
+                        top ^= lowest
                 if current[found] == rank:  # else stale: the pair here has changed
                     at = found
                     break
@@ -142,13 +157,19 @@ class Codec:
             i = after[i]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        simple = len(text.split()) == text.count(" ") + text.count("\n") + 1  # each one between two words
-        if not simple and self.unsafe(text):
-            return b"".join([self.pieces.make(x) for x in self.cut(text)])
+    def parts(self, text: str) -> list[bytes]:
+        """Ids of the pieces of a text, in order, as little-endian unsigned 32-bit integers."""
+        if self.unsafe(text):  # a run of white space before or behind a cut
+            return [self.pieces.make(x) for x in self.cut(text)]
         first, *rest = text.split(" ")
-        return b"".join([self.pieces.make(first), *map(self.pieces.__getitem__, rest)])
+        return [self.pieces.make(first), *map(self.pieces.__getitem__, rest)]
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.parts(text))
+
+    def decoded(self, parts: list[bytes]) -> bytes:
+        """The bytes that the ids of the pieces stand for."""
+        return b"".join(map(self.spelled.__getitem__, parts))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -212,6 +233,28 @@ def decode(tokens: DataFrame, id: str = "doc_id", ids: str = "ids", ranks: str |
     return tokens.select(id, ids).mapInArrow(rows, f"`{id}` {dict(tokens.dtypes)[id]}, ids array<int>, bytes binary")
 
 
+def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """As ``digests(encode(docs))`` in one pass: ids are decoded piece by piece, a piece in recent use once."""
+    import hashlib
+
+    ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
+
+    def rows(batches):
+        own = codec(ranks, pattern)
+        for batch in batches:
+            sizes, sums, texts = [], [], []
+            for value in batch.column(1):
+                parts = own.parts(value.as_py()) if value.is_valid else []
+                ids = b"".join(parts)
+                sizes.append(len(ids) // 4)
+                sums.append(hashlib.sha256(ids).hexdigest())
+                texts.append(hashlib.sha256(own.decoded(parts)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums), pa.array(texts)],
+                                             names=[id, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(id, text).mapInArrow(rows, f"`{id}` {dict(docs.dtypes)[id]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def digests(tokens: DataFrame, id: str = "doc_id", ids: str = "ids", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """``n_tokens``, and SHA-256 of the ids (little-endian) and of the bytes they decode to."""
     import hashlib

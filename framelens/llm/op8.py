@@ -9,4 +9,4 @@ from framelens.llm.registry import query
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
-    return byte_bpe.digests(byte_bpe.encode(docs))
+    return byte_bpe.round_trip(docs)
