@@ -1,12 +1,17 @@
 """Line dedup by log templates.
 
 Lines are parsed by a tree of fixed depth: the number of tokens, then the first ``depth``
-tokens, where a token with a digit counts as variable (``<*>``). A leaf is the set of lines on
-one path. Inside a leaf a token that fewer than ``min_docs`` (document, line) pairs share at its
-position is a variable field and becomes ``<*>``; the line with these marks is its template. A
-line that keeps less than ``min_share`` constant tokens is its own template. Templates found in
-at least ``min_docs`` documents recur: their lines stay in the first document (smallest id) and
-are dropped from all others. Lines with fewer than ``min_tokens`` tokens always stay.
+tokens (all of them in a shorter line), where a token with a digit counts as variable (``<*>``).
+A leaf is the set of lines on one path. Inside a leaf a token is constant at its position if at
+least two (document, line) pairs and a share of ``field_share`` of all pairs of the leaf have it
+there; any other is a value of a variable field and becomes ``<*>``. The share does not depend on
+how much data there is, so a template that recurs ten times as often is generalised alike. The line
+with these marks is its template; a line that keeps less than ``min_share`` constant tokens is its
+own template, with its digits as they are.
+
+Templates found in at least ``min_docs`` documents recur, and so do lines of ``long_tokens`` or
+more tokens that stand unchanged in at least two documents. Recurring lines stay in the first
+document (smallest id) and are dropped from all others. A line without tokens always stays.
 
 No group is handled by one task: leaves, lines, tokens and templates are counted before the
 shuffle, and rows look the counts up, in a broadcast of checked size or in a join whose hot
@@ -26,7 +31,8 @@ from framelens.llm import common
 
 MIN_DOCS = 5
 DEPTH = 3
-MIN_TOKENS = 5
+LONG_TOKENS = 8
+FIELD_SHARE = 0.1
 MIN_SHARE = 0.5
 VARIABLE = "<*>"
 
@@ -35,33 +41,51 @@ def masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
 
 
-def document_lines(docs: DataFrame, id: str, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """A row per line that can belong to a template: document, number, leaf and masked line."""
+def document_lines(docs: DataFrame, id: str, text: str, depth: int) -> DataFrame:
+    """A row per line with tokens: document, number, tokens, and the hash of its leaf."""
     value = F.coalesce(F.col(text), F.lit(""))
     lines = docs.select(F.col(id).alias("_id"), F.xxhash64(value).alias("_th"), F.posexplode_outer(F.split(value, "\n")).alias("line_no", "_raw"))
-    lines = lines.withColumn("_tokens", common.words(F.col("_raw"))).where(F.size("_tokens") >= min_tokens)
-    leaf = F.concat_ws(" ", F.size("_tokens").cast("string"), F.array_join(masked(F.slice("_tokens", 1, depth)), " "))
-    line = F.when(F.col("_raw").rlike("[0-9]"), F.array_join(masked(F.col("_tokens")), " ")).otherwise(F.array_join("_tokens", " "))
-    return lines.select("_id", "_th", "line_no", leaf.alias("leaf"), line.alias("line"))
+    lines = lines.withColumn("_tokens", common.words(F.col("_raw"))).where(F.size("_tokens") > 0)
+    leaf = F.xxhash64(F.size("_tokens"), F.array_join(masked(F.slice("_tokens", 1, depth)), " "))
+    return lines.select("_id", "_th", "line_no", "_raw", "_tokens", leaf.alias("leaf"))
+
+
+def _smallest(document: list[str]) -> Column:
+    return F.struct(F.col(document[0]).isNull().alias("none"), F.col(document[0]).alias("id"), F.col(document[1]).alias("th"))
 
 
 def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH,
-                    min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE) -> DataFrame:
+                    long_tokens: int = LONG_TOKENS, field_share: float = FIELD_SHARE, min_share: float = MIN_SHARE) -> DataFrame:
     """Per document (``_id``, ``_th``) the numbers of the lines to drop; documents without any are absent."""
-    lines = document_lines(docs, id, text, depth, min_tokens)
     document = ["_id", "_th"]
-    leaves = lines.select("leaf", *document).distinct().groupBy("leaf").agg(
-        F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    order = _smallest(document)
+    lines = document_lines(docs, id, text, depth)
+    same = F.when(F.size("_tokens") >= long_tokens, F.unhex(F.md5(F.array_join("_tokens", " "))))
+    narrow = common.stored(lines.select(*document, "line_no", "leaf", same.alias("same")))
+
+    # Long lines that stand unchanged in two documents or more.
+    exact = narrow.where("same is not null").groupBy("same").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    exact, n_exact = common.stored_counted(exact.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))
+    unchanged = common.join_checked(narrow.where("same is not null").select(*document, "line_no", "same"), exact, ["same"], "inner", n_exact)
+    unchanged = unchanged.where(~order.eqNullSafe(F.col("first"))).select(*document, "line_no")
+
+    # Templates of the leaves that enough documents share.
+    leaves = narrow.select("leaf", *document).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
     leaves, n_leaves = common.stored_counted(leaves.select("leaf"))
     live = common.join_checked(lines, leaves, ["leaf"], "left_semi", n_leaves)
+    line = F.when(F.col("_raw").rlike("[0-9]"), F.array_join(masked(F.col("_tokens")), " ")).otherwise(F.array_join("_tokens", " "))
+    live = live.select(*document, "line_no", "leaf", line.alias("line"), F.md5(F.concat(F.lit("="), F.array_join("_tokens", " "))).alias("raw"))
     live = common.stored(live.withColumn("kind", F.unhex(F.md5("line"))))  # a line determines its leaf
 
     kinds = live.select("kind", "leaf", "line", *document).distinct().groupBy("kind").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.first("leaf").alias("leaf"), F.first("line").alias("line"))
     kinds = common.stored(kinds)
-    tokens = kinds.select("kind", "n_pairs", "leaf", F.posexplode_outer(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= depth)
-    tokens = tokens.select("kind", "n_pairs", "pos", F.xxhash64("leaf", "pos", "token").alias("k"), F.xxhash64("token", "pos", "leaf").alias("l"))
-    frequent = tokens.groupBy("k", "l").agg(F.sum("n_pairs").alias("support")).where(F.col("support") >= min_docs)
+    totals, n_totals = common.stored_counted(kinds.groupBy("leaf").agg(F.sum("n_pairs").alias("total")))
+    counted = common.join_checked(kinds, totals, ["leaf"], "inner", n_totals)
+    tokens = counted.select("kind", "n_pairs", "leaf", "total", F.posexplode_outer(F.split("line", " ")).alias("pos", "token")).where(F.col("pos") >= depth)
+    tokens = tokens.select("kind", "n_pairs", "total", "pos", F.xxhash64("leaf", "pos", "token").alias("k"), F.xxhash64("token", "pos", "leaf").alias("l"))
+    frequent = tokens.groupBy("k", "l").agg(F.sum("n_pairs").alias("support"), F.max("total").alias("total"))
+    frequent = frequent.where((F.col("support") >= 2) & (F.col("support") >= F.col("total") * field_share))
     variable = tokens.join(frequent.select("k", "l"), ["k", "l"], "left_anti").groupBy("kind").agg(F.collect_list("pos").alias("_variable"))
 
     # The template as its constant tokens with their places.
@@ -70,16 +94,16 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min
     places = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce(F.col("_variable"), F.array().cast("array<int>")))
     parts = parts.withColumn("_constant", F.filter(places, lambda i: F.get(F.col("_words"), i) != VARIABLE))
     named = F.transform("_constant", lambda i: F.concat_ws(":", i.cast("string"), F.get(F.col("_words"), i)))
-    template = F.when(F.size("_constant") >= n * min_share, F.concat_ws(" ", n.cast("string"), F.array_join(named, " "))).otherwise(F.col("line"))
-    templates, n_templates = common.stored_counted(parts.select("kind", F.md5(template).alias("template")))
+    template = F.when(F.size("_constant") >= n * min_share, F.concat_ws(" ", n.cast("string"), F.array_join(named, " ")))
+    templates, n_templates = common.stored_counted(parts.select("kind", F.md5(template).alias("template")))  # null: the line itself, with its digits
 
     placed = common.join_checked(live, templates, ["kind"], "inner", n_templates)
-    placed = common.stored(placed.select(*document, "line_no", "template"))
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"))
+    placed = common.stored(placed.select(*document, "line_no", F.coalesce("template", "raw").alias("template")))
     found = placed.select("template", *document).distinct().groupBy("template").agg(
         F.count(F.lit(1)).alias("n_docs"), F.min(order).alias("first")).where(F.col("n_docs") >= min_docs)
     found, n_found = common.stored_counted(found.drop("n_docs"))
-    dropped = common.join_checked(placed, found, ["template"], "inner", n_found).where(~order.eqNullSafe(F.col("first")))
+    templated = common.join_checked(placed, found, ["template"], "inner", n_found).where(~order.eqNullSafe(F.col("first")))
+    dropped = templated.select(*document, "line_no").unionByName(unchanged)
     dropped = dropped.groupBy(*document).agg(F.collect_set("line_no").alias("_dropped"))
     return common.stored(dropped.withColumn("_n", F.size("_dropped")))
 
