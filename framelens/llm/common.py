@@ -11,6 +11,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 BROADCAST_BYTES = 32 << 20
+ROW_GROUP_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -41,10 +42,11 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
 
 
 def stored_counted(df: DataFrame, **options: str) -> tuple[DataFrame, int]:
-    """As ``stored``, and the number of rows, counted while writing."""
+    """As ``stored``, and the number of rows, counted while writing. Row groups are small: a task holds one."""
     spark = df.sparkSession
     path, seen = shared_folder(spark), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.options(**{"compression": "zstd"} | options).parquet(path)
+    settings = {"compression": "zstd", "parquet.block.size": str(ROW_GROUP_BYTES)} | options
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.options(**settings).parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
