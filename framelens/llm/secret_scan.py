@@ -3,8 +3,8 @@
 Places come from the texts between matches: the pattern splits a text into gaps, and running sums
 of the lengths of gaps and matches are the starts, in code points. Candidate strings of at least
 ``WINDOW`` characters of one class (hex, or letters and digits of base 64) slide a window over
-their characters: the sum of n log2 n over the counts changes by the character that leaves and
-the one that enters, so no window is counted anew. A candidate is a secret when the entropy of
+their characters: counts are kept and change by the character that leaves and the one that
+enters, as does the sum of n log2 n over them, so no window is counted anew. A candidate is a secret when the entropy of
 any window reaches the threshold of its class. Words, numbers, UUIDs and other strings of the
 allow-list are suppressed.
 
@@ -68,29 +68,38 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def most_entropy(value: Column) -> Column:
-    """Bits of the window of the value with the highest entropy, by counts that slide along."""
+    """Bits of the window of the value with the highest entropy, by counts that slide along.
+
+    The state keeps the count of every ASCII character as one letter of a text, at the place of the
+    character, and the sum of n log2 n over the counts; a character that leaves or enters changes
+    its own letter and two terms of the sum. Other characters count as the last one.
+    """
     weight = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 1)])
-    chars = F.split(value, "")
 
-    def count(part: Column, c: Column) -> Column:
-        return F.size(F.filter(part, lambda x: x == c))
+    def changed(state: Column, c: Column, by: int) -> Column:
+        def at(place: Column) -> Column:
+            count = F.ascii(F.substring(state["counts"], place, F.lit(1))) - ord("0")
+            return bound(count, lambda n: F.struct(
+                (state["s"] + F.get(weight, n + by) - F.get(weight, n)).alias("s"),
+                F.overlay(state["counts"], F.char(n + by + ord("0")), place, F.lit(1)).alias("counts")))
+
+        return bound(F.least(F.ascii(c), F.lit(127)) + 1, at)
 
     def slide(cs: Column) -> Column:
-        head = F.slice(cs, 1, WINDOW)
-        start = F.aggregate(head, F.lit(0.0), lambda acc, c: acc + F.log2(count(head, c).cast("double")))
+        none = F.struct(F.lit(0.0).alias("s"), F.repeat(F.lit("0"), F.lit(128)).alias("counts"))
+        head = F.aggregate(F.slice(cs, 1, WINDOW), none, lambda state, c: changed(state, c, 1))
 
         def step(state: Column, i: Column) -> Column:
-            middle = F.slice(cs, i + 1, F.lit(WINDOW - 1))
-            out, new = count(middle, F.get(cs, i - 1)), count(middle, F.get(cs, i + WINDOW - 1))
-            s = state["s"] + F.get(weight, out) - F.get(weight, out + 1) + F.get(weight, new + 1) - F.get(weight, new)
-            return bound(s, lambda x: F.struct(x.alias("s"), F.least(state["least"], x).alias("least")))
+            left = bound(state, lambda x: changed(x, F.get(cs, i - 1), -1))
+            return bound(bound(left, lambda x: changed(x, F.get(cs, i + WINDOW - 1), 1)), lambda x: F.struct(
+                x["s"].alias("s"), x["counts"].alias("counts"), F.least(state["least"], x["s"]).alias("least")))
 
         n = F.size(cs)
         steps = F.when(n > WINDOW, F.sequence(F.lit(1), n - WINDOW)).otherwise(F.array().cast("array<int>"))
-        low = F.aggregate(steps, F.struct(start.alias("s"), start.alias("least")), step)["least"]
-        return F.lit(math.log2(WINDOW)) - low / WINDOW
+        first = bound(head, lambda h: F.struct(h["s"].alias("s"), h["counts"].alias("counts"), h["s"].alias("least")))
+        return F.lit(math.log2(WINDOW)) - F.aggregate(steps, first, step)["least"] / WINDOW
 
-    return bound(chars, slide)
+    return bound(F.split(value, ""), slide)
 
 
 def is_secret(value: Column) -> Column:
