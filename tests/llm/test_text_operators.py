@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -171,3 +172,103 @@ def test_decontamination_reads_each_template_once(spark, monkeypatch):
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in made]
     over_documents = [p for p in plans if "LogicalRDD" in p and "regexp_replace" in p and "doc_id" in p]
     assert len(over_documents) <= 2  # all documents once, and those with hits
+
+
+def test_byte_bpe_in_one_pass(spark):
+    df = docs(spark)
+    assert sorted(map(repr, byte_bpe.round_trip(df).collect())) == sorted(map(repr, byte_bpe.digests(byte_bpe.encode(df)).collect()))
+
+
+def test_byte_bpe_of_white_space_and_marks():
+    """Against the library, also with a rank for white space, which the given ranks do not have."""
+    import tiktoken
+
+    ranks, pattern = byte_bpe.load_ranks(byte_bpe.default_ranks()), byte_bpe.default_pattern()
+    ranks = {**ranks, b"  ": max(ranks.values()) + 1, b"\t ": max(ranks.values()) + 2}
+    own = byte_bpe.Codec(ranks, pattern)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a\tb\tc   d", "a  b", "  a", "a  ", "a \n b", "word, word. Word! naïve, ßtraße. don't it's,", "x\u0300. \u0130. \u02bc,", " , . ", ",.", "ǅ, ɐ.", "\u00a0 a\u2003 b", "a" * 3000, "theaatat, " * 50]
+    for text in texts:
+        parts = own.parts(text)
+        assert list(memoryview(b"".join(parts)).cast("I")) == library.encode_ordinary(text), repr(text)
+        assert own.decoded(parts) == text.encode()
+
+
+def test_token_store_cuts_words_as_the_tokenizer_does(spark):
+    """Every letter before a full stop or comma, also those that normalization splits into a base and a mark."""
+    import unicodedata
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(token_store.default_tokenizer()), token_store.Encoder(token_store.default_tokenizer())
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LM"]
+    for mark in ".,":
+        texts = [f"x{c}{mark}" for c in letters]
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in own.encode(texts)]
+        assert found == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_store_layout_allows_selective_reads(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = [(i, f"{tables.prose(i, 60)}", "en", "s", 1) for i in range(3000)]
+    path = str(tmp_path / "tokens")
+    token_store.write_tokens(docs(spark, rows).coalesce(1), path)
+    files = sorted((tmp_path / "tokens").glob("part-*.parquet"))
+    seen, pages = 0, 0
+    for name in files:
+        meta = pq.ParquetFile(name).metadata
+        columns = {meta.row_group(0).column(i).path_in_schema: meta.row_group(0).column(i) for i in range(meta.num_columns)}
+        tokens = next(v for k, v in columns.items() if k.startswith("tokens"))
+        assert {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} & set(tokens.encodings) and tokens.has_offset_index and tokens.has_column_index
+        assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and "DELTA_BINARY_PACKED" in columns["part_start"].encodings
+        seen += meta.num_rows
+        pages += columns["doc_id"].has_column_index
+    assert seen == 3000 and pages == len(files)
+    scan = spark.read.parquet(path).where("doc_id = 1234").select("doc_id", "n_tokens")
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,1234)" in plan and "tokens" not in plan.split("ReadSchema")[1].replace("n_tokens", "")
+    assert scan.count() == 1
+
+
+def test_line_templates_generalise_alike_at_every_size(spark):
+    names, cities = ([f"{w}{a}{b}" for a in "aeiou" for b in "bcdfghjklmnpqrstvwxy"[:20]] for w in ("An", "Ber"))
+    for n in (300, 3_000, 10_000):
+        rnd = random.Random(n)
+        rows = [(i, f"This post was written by {rnd.choice(names)} from {rnd.choice(cities)} for our readers\nown{i} words{i} here", "en", "s", 1) for i in range(n)]
+        out = line_templates.drop_recurring(docs(spark, rows)).groupBy("_lines.n_dropped").count().collect()
+        assert {r.n_dropped: r["count"] for r in out} == {0: 1, 1: n - 1}, n
+
+
+def test_line_templates_drop_short_and_long_lines(spark):
+    passage = tables.prose(900, 60)
+    rows = [(i, f"Read more\n{tables.prose(i, 20)}" + (f"\n{passage}" if i in (3, 8) else ""), "en", "s", 1) for i in range(30)]
+    rows += [(200 + i, f"{i}\n{i} / {i + 1}", "en", "s", 1) for i in range(12)]
+    rows += [(100, "Once only", "en", "s", 1), (101, "Twice here", "en", "s", 1), (102, "Twice here", "en", "s", 1)]
+    out = {r.doc_id: r._lines for r in line_templates.drop_recurring(docs(spark, rows)).collect()}
+    assert out[0].n_dropped == 0 and out[1].n_dropped == 1 and out[1].kept_text == tables.prose(1, 20)
+    assert out[3].n_dropped == 1 and passage in out[3].kept_text  # the first document keeps the passage
+    assert out[8].n_dropped == 2 and out[8].kept_text == tables.prose(8, 20)
+    assert out[100].n_dropped == out[101].n_dropped == out[102].n_dropped == 0  # short lines need five documents
+    assert all(out[200 + i].n_dropped == 0 for i in range(12))  # nothing but numbers, all of them different
+
+
+def test_sliding_entropy_equals_counting_each_window(spark):
+    import math
+    from collections import Counter
+
+    rnd = random.Random(5)
+    values = ["".join(rnd.choice(alphabet) for _ in range(n)) for alphabet in ("ab", "0123456789abcdef", "ABCdef0123+/_=-xyzXYZ") for n in (20, 21, 40, 133)]
+    values += ["a" * 30, "".join(rnd.choice("abcdefgh") for _ in range(3000)), "é" * 25]
+    found = spark.createDataFrame([(v,) for v in values], "v string").select("v", secret_scan.most_entropy(F.col("v")).alias("h")).collect()
+    for r in found:
+        own = max(-sum(n / 20 * math.log2(n / 20) for n in Counter(r.v[i : i + 20]).values()) for i in range(len(r.v) - 19))
+        assert abs(r.h - own) < 1e-9
+
+
+def test_one_very_long_candidate(spark):
+    rnd = random.Random(6)
+    long = "".join(rnd.choice("abcdefABCDEF0123456789") for _ in range(1_000_000))
+    got = secret_scan.scan(docs(spark, [(1, f"x {long} y", "en", "s", 1)])).select("_spans").first()[0]
+    assert [(s.start, s.end) for s in got if s.kind == 3] == [(2, 1_000_002)]
