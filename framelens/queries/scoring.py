@@ -171,12 +171,15 @@ ds AS (SELECT * FROM (VALUES %s) d(condition, description))
 """ % ", ".join(f"('{k}', '{v}')" for k, v in fixed.CONDITION_DESCRIPTIONS.items())
 
 
-def coded_deltas(spark, sf):
-    """Label differences over 10 frames with their nearest code; at most one row per frame."""
+def found_codes(spark, sf):
+    """Label differences over 10 frames with the id of their nearest code; at most one row per frame."""
     rows = frame_pairs(spark, sf).drop("code_id")
     rows = rows.withColumn("vector", tensors.difference(F.col("target"), F.col("first")))
-    found = cb.nearest_code(rows, T.codebook(spark, sf), ["idx"])
-    return cb.with_code_vectors(found, T.codebook(spark, sf))
+    return cb.nearest_code(rows, T.codebook(spark, sf), ["idx"])
+
+
+def coded_deltas(spark, sf):
+    return cb.with_code_vectors(found_codes(spark, sf), T.codebook(spark, sf))
 
 
 @query("nearest_codebook_join", CODE_SQL + "SELECT idx, CAST(code_id AS BIGINT) AS code_id, round(dist * dist, 6) AS sq_distance FROM nc")
@@ -214,11 +217,16 @@ def linear_decoder(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def build_losses(spark, sf):
-    rows = cb.relaxed(coded_deltas(spark, sf), "vector", "code", "idx", SEED, 64)
-    rows = cb.shuffled_control(rows, "idx", "code", BATCH_ROWS, SEED)
+    codes = T.codebook(spark, sf)
+    named = found_codes(spark, sf).select("idx", "episode_index", "target", "first", "code_id")
+    rows = cb.shuffled_control(named, "idx", "code_id", BATCH_ROWS, SEED)  # only ids change rows; their vectors follow
+    rows = cb.with_code_vectors(rows, codes)
+    rows = cb.with_code_vectors(rows.drop("code_id"), codes.select(F.col("code_id").alias("shuffled"), F.col("code").alias("other")), name="shuffled")
+    rows = rows.withColumn("vector", tensors.difference(F.col("target"), F.col("first")))
+    rows = cb.relaxed(rows, "vector", "code", "idx", SEED, 64)
     tokens = rows.select(
         "idx", "episode_index", "target", "first", F.col("relaxed").alias("normal"), F.col("code").alias("hard_codebook"),
-        F.col("shuffled").alias("shuffled_action_tokens"), tensors.zeros_like(F.col("code")).alias("zeroed_action_tokens"))
+        F.col("other").alias("shuffled_action_tokens"), tensors.zeros_like(F.col("code")).alias("zeroed_action_tokens"))
     return lab.condition_losses(tokens, ["idx", "episode_index"], linear_decoder)
 
 

@@ -28,3 +28,15 @@ def test_null_keys_and_nan_groups_of_quantiles(spark):
     for cell_rows in (1, 100):
         got = {r.k: r.m for r in qt.exact_quantiles(rows, ["k"], F.col("v"), {"m": 0.5}, cell_rows=cell_rows).collect()}
         assert set(got) == {"nan", "x"} and np.isnan(got["nan"]) and got["x"] == 1.5
+
+
+def test_shuffled_control_moves_rows_once(spark):
+    keys = [*range(40), 7, 7, None]
+    rows = spark.createDataFrame([(k, f"v{i}") for i, k in enumerate(keys)], "idx bigint, v string").repartition(3)
+    out = cb.shuffled_control(rows, "idx", "v", 10, 3)
+    assert plan_of(out).count("Exchange hashpartitioning") == 1 and "Join" not in plan_of(out)
+    got = out.collect()
+    assert out.columns == ["idx", "v", "shuffled"] and len(got) == 42  # a row without key has no batch
+    for batch in range(4):
+        own = [r for r in got if r.idx // 10 == batch]
+        assert sorted(r.v for r in own) == sorted(r.shuffled for r in own)
