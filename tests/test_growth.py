@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelens.operators import codebook as cb
 from framelens.operators import quantiles as qt
+from framelens.operators.ordering import join_by_episode
 
 
 def plan_of(df) -> str:
@@ -40,3 +41,18 @@ def test_shuffled_control_moves_rows_once(spark):
     for batch in range(4):
         own = [r for r in got if r.idx // 10 == batch]
         assert sorted(r.v for r in own) == sorted(r.shuffled for r in own)
+
+
+def test_only_rows_of_long_episodes_are_copied(spark):
+    short = [(e, f) for e in range(2000) for f in range(3)]
+    chosen = spark.createDataFrame([(e, f"g{e}") for e in range(0, 2000, 2)], "episode_index bigint, g string")
+
+    def joined(rows, how):
+        return join_by_episode(spark.createDataFrame(rows, "episode_index bigint, frame_index bigint"), chosen, how)
+
+    assert "[0,1,2,3" not in plan_of(joined(short, "left"))
+    rows = [*short, *((0, f) for f in range(3, 400)), (None, 0)]
+    for how, expected in (("left", len(rows)), ("inner", 3397), ("left_semi", 3397), ("left_anti", 3001)):
+        got = joined(rows, how).collect()
+        assert len(got) == expected and len(set(got)) == expected, how
+    assert sum(r.g == "g0" for r in joined(rows, "left").collect()) == 400
