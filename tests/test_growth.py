@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from framelens.operators import codebook as cb
+from framelens.operators import models as md
 from framelens.operators import quantiles as qt
 from framelens.operators.ordering import join_by_episode
 
@@ -56,3 +58,19 @@ def test_only_rows_of_long_episodes_are_copied(spark):
         got = joined(rows, how).collect()
         assert len(got) == expected and len(set(got)) == expected, how
     assert sum(r.g == "g0" for r in joined(rows, "left").collect()) == 400
+
+
+def test_narrow_ridge_sums_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(md, "RowMatrix", None)
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(300, 5)) + 3, rng.normal(size=(300, 2))
+    rows = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "i int, x array<double>, y array<double>")
+    vectors = rows.repartition(7).select("i", array_to_vector("x").alias("x"), "y")
+    weights, constants = md.ridge_weights(vectors, "x", "y", 2.0)
+    xc, yc = x - x.mean(0), y - y.mean(0)
+    assert np.allclose(weights, np.linalg.solve(xc.T @ xc + 2.0 * np.eye(5), xc.T @ yc)) and np.allclose(constants, y.mean(0) - x.mean(0) @ weights)
+    got = md.linear_predictions(vectors, "x", weights, constants, "p").orderBy("i").collect()
+    assert np.allclose([r.p for r in got], x @ weights + constants)
+    monkeypatch.undo()
+    monkeypatch.setattr(md, "BLOCK_GRAM", 3)  # wider sums stay with Spark's row matrix
+    assert np.allclose(md.ridge_weights(vectors, "x", "y", 2.0)[0], weights)
