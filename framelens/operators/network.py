@@ -1,32 +1,36 @@
 """Trained networks on tables: data-parallel gradients, Adam on the driver's small weights.
 
 Rows are packed once into blocks of matrices, dealt by a hash of the key, so neither batches nor
-blocks depend on how the table is cut. A step sends the weights to the tasks, each of which adds
-up the gradients of its blocks of the batch; the sums of tasks are added in groups, and one short
-vector per group reaches the driver. A tenth of the rows, also dealt by hash, is held out: its
+blocks depend on how the table is cut. Each batch is stored apart, so a step reads the rows of its
+batch and no others, and a round reads every row once. A step sends the weights to the tasks, each of
+which adds up the gradients of its blocks; where a batch has many tasks their sums are added in
+groups, and one short vector per task or group reaches the driver. A tenth of the rows, also dealt by hash, is held out: its
 loss comes with the first step of each round over the batches and stops a network that has not
-improved for ``patience`` rounds. Every target has its own network; all of them share the passes.
+improved for ``patience`` rounds. Every target has its own network, as has every feature set; all of them share the passes.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.session import written
+from framelens.session import shared_folder
 
 BLOCK_ROWS = 2048
 BATCH_ROWS = 8192
 MOST_BATCHES = 32
 HELD_OUT = 10
 SUM_GROUPS = 16
+FILE_BLOCKS = 4  # of one batch, stored in one file
+CACHE_ROWS = 512  # whose layers stay in a core's cache
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
 
@@ -43,24 +47,30 @@ class Settings:
 def blocks(rows: DataFrame, key: str, x: str, y: str, n: int, seed: int = 0, held_out: bool = True,
            block_rows: int = BLOCK_ROWS, batch_rows: int = BATCH_ROWS) -> tuple[DataFrame, int]:
     """Stored matrices of about ``block_rows`` rows (``batch``, ``n``, ``x``, ``y``) and the number of
-    batches; the held-out rows are batch -1. ``x`` is a vector, ``y`` an array of numbers."""
+    batches; the held-out rows are batch -1. ``x`` is a vector, ``y`` an array of numbers. A batch is
+    a folder of its own, so reading one batch opens no file of another."""
     n_blocks = max(1, -(-n // block_rows))
     n_batches = min(MOST_BATCHES, max(1, n // batch_rows))
     dealt = F.xxhash64(F.lit(seed), F.col(key))
     block = F.pmod(dealt, F.lit(n_blocks)).cast("int")
     out = F.pmod(F.xxhash64(F.lit("held out"), F.lit(seed), F.col(key)), F.lit(HELD_OUT)) == 0
+    own = F.pmod(block, F.lit(n_batches))
     keyed = rows.select(F.col(key).alias("key"), vector_to_array(x).alias("x"), F.col(y).cast("array<double>").alias("y"), block.alias("block"),
-                        (out if held_out else F.lit(False)).alias("out"))
+                        (F.when(out, -1).otherwise(own) if held_out else own).cast("int").alias("batch"))
+    blocks_apart = F.when(F.col("batch") < 0, F.lit(FILE_BLOCKS * HELD_OUT)).otherwise(F.lit(FILE_BLOCKS * n_batches))
+    placed = keyed.withColumn("file", F.floor(F.col("block") / blocks_apart).cast("int"))
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
         size = table.num_rows
         flat = [np.ascontiguousarray(table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype="<f8").tobytes() for c in ("x", "y")]
-        batch = -1 if table["out"][0].as_py() else table["block"][0].as_py() % n_batches
-        return pa.table({"batch": pa.array([batch], pa.int32()), "n": pa.array([size], pa.int32()), "x": [flat[0]], "y": [flat[1]]})
+        return pa.table({"batch": pa.array([table["batch"][0].as_py()], pa.int32()), "n": pa.array([size], pa.int32()), "x": [flat[0]], "y": [flat[1]]})
 
-    done = keyed.groupBy("block", "out").applyInArrow(packed, "batch int, n int, x binary, y binary")
-    return written(rows.sparkSession, done), n_batches
+    done = placed.repartition("batch", "file").groupBy("batch", "file", "block").applyInArrow(packed, "batch int, n int, x binary, y binary")
+    path = shared_folder(rows.sparkSession)
+    done.write.partitionBy("batch").parquet(path)
+    stored = rows.sparkSession.read.schema("n int, x binary, y binary, batch int").parquet(path)
+    return stored.select("batch", "n", "x", "y"), n_batches
 
 
 def start(sizes: list[int], rng: np.random.Generator) -> list[np.ndarray]:
@@ -76,21 +86,23 @@ def forward(x: np.ndarray, weights: list[np.ndarray]) -> list[np.ndarray]:
     """Outputs of all layers, the input first."""
     out = [x]
     for i in range(0, len(weights), 2):
-        value = out[-1] @ weights[i] + weights[i + 1]
-        out.append(value if i + 2 == len(weights) else np.maximum(value, 0.0))
+        value = out[-1] @ weights[i]
+        value += weights[i + 1]
+        out.append(value if i + 2 == len(weights) else np.maximum(value, 0.0, out=value))
     return out
 
 
 def gradient(x: np.ndarray, y: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, float]:
     """Sum over the rows of the gradient of half the squared error, flat, and of that error."""
     layers = forward(x, weights)
-    error = layers[-1] - y
-    delta, parts = error, []
+    delta = layers[-1] - y
+    loss, parts = float(np.vdot(delta, delta)) / 2, []
     for i in range(len(weights) - 2, -1, -2):
         parts += [delta.sum(0), layers[i // 2].T @ delta]
         if i:
-            delta = (delta @ weights[i].T) * (layers[i // 2] > 0)
-    return np.concatenate([p.ravel() for p in reversed(parts)]), float((error * error).sum()) / 2
+            delta = delta @ weights[i].T
+            delta *= layers[i // 2] > 0
+    return np.concatenate([p.ravel() for p in reversed(parts)]), loss
 
 
 def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
@@ -101,106 +113,106 @@ def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _passed(table: DataFrame, batch: int, with_held_out: bool, nets: list, spans: list[tuple[int, int]], size: int) -> list[dict]:
-    """Gradients and losses of every network over one batch, summed over the table."""
-    width = spans[-1][1]
-    which = F.col("batch").isin(batch, -1) if with_held_out else F.col("batch") == batch
-
-    def summed(batches):
-        sums = [None] * len(nets)
-        loss, out_loss, n, out_n = np.zeros(len(nets)), np.zeros(len(nets)), 0, 0
-        for found in batches:
-            own, counts, xs, ys = (found.column(i).to_pylist() for i in range(4))
-            for b, rows, raw_x, raw_y in zip(own, counts, xs, ys):
-                x = np.frombuffer(raw_x, "<f8").reshape(rows, size)
-                y = np.frombuffer(raw_y, "<f8").reshape(rows, width)
-                n, out_n = n + rows * (b >= 0), out_n + rows * (b < 0)
-                for i, (net, (lo, hi)) in enumerate(zip(nets, spans)):
-                    if net is None:
-                        continue
-                    if b < 0:
-                        out_loss[i] += float(((forward(x, net)[-1] - y[:, lo:hi]) ** 2).sum()) / 2
-                        continue
-                    part, cost = gradient(x, y[:, lo:hi], net)
+@dataclass(frozen=True)
+class Net:
+    """The columns of ``x`` and of ``y`` that one network maps to each other."""
+
+    x: tuple[int, int]
+    y: tuple[int, int]
+
+
+def _sum(a: tuple, b: tuple) -> tuple:
+    return tuple([y if x is None else x if y is None else x + y for x, y in zip(p, q)] if isinstance(p, list) else p + q for p, q in zip(a, b))
+
+
+def _passed(table: RDD, nets: list, plan: list[Net]) -> tuple:
+    """Over the blocks of ``table``: training and held-out rows, losses of every network on both, and gradients, summed."""
+    size, width = max(p.x[1] for p in plan), max(p.y[1] for p in plan)
+
+    def summed(found):
+        n, out_n, loss, out_loss, sums = 0, 0, np.zeros(len(nets)), np.zeros(len(nets)), [None] * len(nets)
+        for batch, rows, raw_x, raw_y in found:
+            xs, ys = np.frombuffer(raw_x, "<f8").reshape(rows, size), np.frombuffer(raw_y, "<f8").reshape(rows, width)
+            n, out_n = n + rows * (batch >= 0), out_n + rows * (batch < 0)
+            for i, (net, span) in enumerate(zip(nets, plan)):
+                if net is None:
+                    continue
+                x, y = xs[:, slice(*span.x)], ys[:, slice(*span.y)]
+                if batch < 0:
+                    error = forward(x, net)[-1] - y
+                    out_loss[i] += float(np.vdot(error, error)) / 2
+                    continue
+                for at in range(0, rows, CACHE_ROWS):
+                    part, cost = gradient(x[at : at + CACHE_ROWS], y[at : at + CACHE_ROWS], net)
                     sums[i] = part if sums[i] is None else sums[i] + part
                     loss[i] += cost
-        for i in range(len(nets)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([out_n], pa.int64()), pa.array([loss[i]]), pa.array([out_loss[i]]),
-                 pa.array([None if sums[i] is None else sums[i].tobytes()], pa.binary())],
-                names=["net", "n", "out_n", "loss", "out_loss", "sum"])
-
-    shape = "net int, n long, out_n long, loss double, out_loss double, sum binary"
-
-    def added(group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(p, "<f8") for p in group["sum"].to_pylist() if p is not None]
-        one = {c: [sum(group[c].to_pylist())] for c in ("n", "out_n", "loss", "out_loss")}
-        return pa.table({"net": [group["net"][0].as_py()], **one, "sum": [np.sum(parts, 0).tobytes() if parts else None]},
-                        schema=pa.schema([("net", pa.int32()), ("n", pa.int64()), ("out_n", pa.int64()), ("loss", pa.float64()), ("out_loss", pa.float64()), ("sum", pa.binary())]))
-
-    partial = table.where(which).select("batch", "n", "x", "y").mapInArrow(summed, shape)
-    if table.rdd.getNumPartitions() > SUM_GROUPS:
-        grouped = partial.withColumn("part", F.spark_partition_id() % SUM_GROUPS)
-        partial = grouped.groupBy("net", "part").applyInArrow(added, shape)
-    total = [{"n": 0, "out_n": 0, "loss": 0.0, "out_loss": 0.0, "sum": 0.0} for _ in nets]
-    for row in partial.collect():  # at most SUM_GROUPS rows per network
-        own = total[row.net]
-        for c in ("n", "out_n", "loss", "out_loss"):
-            own[c] += row[c]
-        if row.sum is not None:
-            own["sum"] = own["sum"] + np.frombuffer(row.sum, "<f8")
-    return total
+        yield n, out_n, loss, out_loss, sums
+
+    partial = table.mapPartitions(summed)
+    if table.getNumPartitions() > SUM_GROUPS:
+        partial = partial.mapPartitionsWithIndex(lambda i, own: ((i % SUM_GROUPS, one) for one in own)).reduceByKey(_sum, SUM_GROUPS).values()
+    return reduce(_sum, partial.collect(), (0, 0, np.zeros(len(nets)), np.zeros(len(nets)), [None] * len(nets)))  # at most SUM_GROUPS rows
 
 
 def train(table: DataFrame, n_batches: int, size: int, spans: list[tuple[int, int]], settings: Settings) -> list[list[np.ndarray]]:
-    """Weights of one network per span of targets, over the blocks of ``blocks``.
+    """Weights of one network per span of targets, all on the same ``size`` features."""
+    return train_sets(table, n_batches, [(0, size)], spans, settings)[0]
+
+
+def train_sets(table: DataFrame, n_batches: int, sets: list[tuple[int, int]], spans: list[tuple[int, int]], settings: Settings) -> list[list[list[np.ndarray]]]:
+    """Per feature set (a span of ``x``), weights of one network per span of targets, over the blocks of ``blocks``.
 
-    Returned are the weights with the smallest held-out loss (of the training rows where none is held out).
+    Returned are the weights with the smallest held-out loss (of the training rows where none is held
+    out). A set's networks do not depend on the other sets, which only share its passes.
     """
-    rng = np.random.default_rng(settings.seed)
-    nets = [start([size, *settings.hidden, hi - lo], rng) for lo, hi in spans]
+    plan, nets = [Net(own, span) for own in sets for span in spans], []
+    for lo, hi in sets:
+        rng = np.random.default_rng(settings.seed)
+        nets += [start([hi - lo, *settings.hidden, b - a], rng) for a, b in spans]
     first = [np.zeros(sum(w.size for w in net)) for net in nets]
     second = [m.copy() for m in first]
     penalised = [np.concatenate([np.full(w.size, float(w.ndim == 2)) for w in net]) for net in nets]
     best, best_loss, waited = [None] * len(nets), [np.inf] * len(nets), [0] * len(nets)
     done = [False] * len(nets)
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    apart = [table.where(F.col("batch") == b).select("batch", "n", "x", "y").rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK) for b in range(-1, n_batches)]
     try:
         step = 0
         for _ in range(settings.rounds):
-            before, train_loss, train_n = None, np.zeros(len(nets)), 0
             for batch in range(n_batches):
                 live = [None if stop else net for net, stop in zip(nets, done)]
-                current = [[w.copy() for w in net] for net in nets] if batch == 0 else None
-                sums = _passed(table, batch, batch == 0, live, spans, size)
-                if batch == 0:
-                    before = current
-                    for i, s in enumerate(sums):
-                        if done[i] or not s["out_n"]:
+                if batch == 0:  # with the held-out rows
+                    before = [[w.copy() for w in net] for net in nets]
+                    n, out_n, _, out_loss, sums = _passed(table.sparkSession.sparkContext.union(apart[:2]), live, plan)
+                    for i in range(len(nets)):
+                        if done[i] or not out_n:
                             continue
-                        held = s["out_loss"] / s["out_n"]
+                        held = out_loss[i] / out_n
                         improved = held < best_loss[i] * (1 - 1e-4)
                         waited[i] = 0 if improved else waited[i] + 1
                         if held < best_loss[i]:
                             best_loss[i], best[i] = held, before[i]
                         done[i] = waited[i] > settings.patience
+                else:
+                    n, _, _, _, sums = _passed(apart[1 + batch], live, plan)
                 step += 1
-                for i, s in enumerate(sums):
-                    if done[i] or not s["n"] or np.isscalar(s["sum"]):
+                for i, own in enumerate(sums):
+                    if done[i] or own is None:
                         continue
                     flat = np.concatenate([w.ravel() for w in nets[i]])
-                    g = s["sum"] / s["n"] + settings.alpha * penalised[i] * flat / s["n"]
+                    g = own / n + settings.alpha * penalised[i] * flat / n
                     first[i] = BETA1 * first[i] + (1 - BETA1) * g
                     second[i] = BETA2 * second[i] + (1 - BETA2) * g * g
                     move = first[i] / (1 - BETA1**step) / (np.sqrt(second[i] / (1 - BETA2**step)) + EPSILON)
                     nets[i] = _shaped(flat - settings.rate * move, nets[i])
-                    train_loss[i] += s["loss"]
-                train_n += sums[0]["n"]
+                if all(done):  # nothing can change any more
+                    break
             if all(done):
                 break
     finally:
-        table.unpersist()
-    return [own if kept is None else kept for own, kept in zip(nets, best)]
+        for one in apart:
+            one.unpersist()
+    chosen = [own if kept is None else kept for own, kept in zip(nets, best)]
+    return [chosen[i : i + len(spans)] for i in range(0, len(chosen), len(spans))]
 
 
 def predictions(rows: DataFrame, x: str, nets: list[list[np.ndarray]], shift: np.ndarray, scale: np.ndarray, out: str) -> DataFrame:

@@ -63,3 +63,12 @@ def test_held_out_loss_stops_training(spark):
     weights = net.train(table, n_batches, 3, [(0, 1)], net.Settings(hidden=(64,), rounds=60, patience=2, rate=3e-2))
     guess = net.forward(rng.normal(size=(200, 3)), weights[0])[-1]
     assert np.abs(guess).mean() < 0.6  # noise has nothing to learn; without stopping it would be followed
+
+
+def test_a_step_opens_only_the_files_of_its_batch(spark):
+    vectors = curved(spark, 4000).select("idx", array_to_vector("continuous").alias("x"), "y")
+    table, n_batches = net.blocks(vectors, "idx", "x", "y", 4000, 3, block_rows=16, batch_rows=500)
+    files = [{r.f for r in table.where(F.col("batch") == b).select(F.input_file_name().alias("f")).distinct().collect()} for b in range(-1, n_batches)]
+    assert n_batches == 8 and all(files)
+    assert sum(map(len, files)) == len(set().union(*files)) == len(table.inputFiles())
+    assert table.agg(F.sum("n")).first()[0] == 4000
