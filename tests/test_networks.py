@@ -72,3 +72,21 @@ def test_a_step_opens_only_the_files_of_its_batch(spark):
     assert n_batches == 8 and all(files)
     assert sum(map(len, files)) == len(set().union(*files)) == len(table.inputFiles())
     assert table.agg(F.sum("n")).first()[0] == 4000
+
+
+def test_feature_sets_share_passes_and_nothing_else(spark, monkeypatch):
+    rows = curved(spark, 600).withColumn("other", F.slice("continuous", 1, 5))
+    few = net.Settings(hidden=(8,), rounds=5, seed=3)
+    passes, passed = [], net._passed
+    monkeypatch.setattr(net, "_passed", lambda *a, **k: passes.append(1) or passed(*a, **k))
+
+    def scores(features):
+        passes.clear()
+        found = md.run_probes(rows, features, {"t": "y"}, models=("mlp",), split_mode="row", network=few)
+        return {(r.feature_set, r.action_dim): r.mse for r in found.collect()}, len(passes)
+
+    both, n_both = scores({"a": "continuous", "b": "other"})
+    a, n_a = scores({"a": "continuous"})
+    b, n_b = scores({"b": "other"})
+    assert both == pytest.approx({**a, **b}, rel=1e-6) and len(both) == 4
+    assert n_both == max(n_a, n_b)
