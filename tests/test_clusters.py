@@ -63,3 +63,21 @@ def test_loss_is_close_to_full_rounds(spark):
             centres = np.array([x[own == j].mean(0) if (own == j).any() else centres[j] for j in range(8)])
         best = min(best, loss(centres))
     assert loss(cl.fit(rows, "idx", "x", 8, 2000)) < 1.08 * best
+
+
+def test_a_step_opens_only_the_files_of_its_batch(spark, monkeypatch):
+    monkeypatch.setattr(cl, "BLOCK_ROWS", 50)
+    x, _, rows = blobs(spark, 3000)
+    table, n_batches = cl.blocks(rows, "idx", "x", 3000, 0, 100, steps=4)
+    files = [{r.f for r in table.where(F.col("batch") == b).select(F.input_file_name().alias("f")).distinct().collect()} for b in range(-1, 4)]
+    assert n_batches == 30 and all(files)  # batches behind the last step are not kept apart
+    assert sum(map(len, files)) == len(set().union(*files)) == len(table.inputFiles())
+    assert table.agg(F.sum("n")).first()[0] == 3000
+
+
+def test_batches_without_rows(spark, monkeypatch):
+    """One repeated key leaves all blocks but one empty."""
+    monkeypatch.setattr(cl, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(cl, "BATCH_ROWS", 20)
+    rows = spark.createDataFrame([(7, [float(i), 0.0]) for i in range(200)], "idx long, x array<double>")
+    assert cl.fit(rows, "idx", "x", 2, 200).shape[1] == 2
