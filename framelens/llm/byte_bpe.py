@@ -29,6 +29,8 @@ import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame
 
+from framelens.llm import ragged
+
 SPACE_CLASS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE_CLASS}]", c))
 # Letters of the Latin blocks, on which all versions of Unicode agree.
@@ -94,22 +96,6 @@ def _heads(owners: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(owners[1:] != owners[:-1]) + 1])
 
 
-def _binaries(offsets: np.ndarray, data: bytes | np.ndarray) -> pa.LargeBinaryArray:
-    buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)]
-    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers)
-
-
-def _raw(values: pa.LargeBinaryArray) -> tuple[np.ndarray, memoryview]:
-    """Offsets of the values and their joined bytes."""
-    _, offsets, data = values.buffers()
-    ends = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
-    return ends - ends[0], memoryview(data or b"").cast("B")[ends[0] : ends[-1]]
-
-
-def _starts(sizes: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-
-
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -243,7 +229,7 @@ class Codec:
 
     def _merged(self, words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
         """Ids of distinct pre-tokens (none is empty) as little-endian unsigned 32-bit integers."""
-        starts, data = _raw(words)
+        starts, data = ragged.raw(words)
         sizes, data = np.diff(starts), np.frombuffer(data, np.uint8)
         whole = pc.index_in(words, value_set=self.spelled)
         ids = pc.fill_null(whole, 0).to_numpy(zero_copy_only=False).astype("<u4")
@@ -254,20 +240,20 @@ class Codec:
             some = max(1, int(np.searchsorted(np.cumsum(sizes[short]), QUEUE_BYTES, "right")))
             own, short = short[:some], short[some:]
             n = sizes[own]
-            found, counts[own] = self.merge_all(data[np.repeat(starts[own] - _starts(n)[:-1], n) + np.arange(n.sum())], n)
+            found, counts[own] = self.merge_all(data[ragged.spread(starts[own], n)], n)
             tokens.append(found)
             owners.append(own)
         for own in rest[sizes[rest] > LONG].tolist():
             tokens.append(self.merge(data[starts[own] : starts[own + 1]].tobytes()))
             owners.append([own])
             counts[own] = len(tokens[-1])
-        ends = _starts(counts)
+        ends = ragged.starts(counts)
         out = np.empty(ends[-1], "<u4")
         out[ends[:-1]] = ids
         for own, found in zip(owners, tokens):
             n = counts[own]
-            out[np.repeat(ends[own] - _starts(n)[:-1], n) + np.arange(n.sum())] = found
-        return _binaries(ends * 4, out)
+            out[ragged.spread(ends[own], n)] = found
+        return ragged.binaries(ends * 4, out)
 
     def _pieces(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
         """Ids of distinct pieces of text between two cuts."""
@@ -284,13 +270,13 @@ class Codec:
         behind[where] = False
         counts[behind] = n = np.fromiter(map(len, others), np.int64, len(others))
         found = pa.concat_arrays([words, marks, pa.array([w for x in others for w in x], pa.large_string())]).dictionary_encode()
-        index, ends = found.indices.to_numpy(), _starts(counts)
+        index, ends = found.indices.to_numpy(), ragged.starts(counts)
         order = np.empty(ends[-1], np.int64)
         order[ends[where]] = index[: len(words)]
         order[ends[where[marked]] + 1] = index[len(words) : len(words) + len(marks)]
-        order[np.repeat(ends[:-1][behind] - _starts(n)[:-1], n) + np.arange(n.sum())] = index[len(words) + len(marks) :]
-        starts, ids = _raw(self._merged(found.dictionary.cast(pa.large_binary())).take(pa.array(order)))
-        return _binaries(starts[ends], ids)
+        order[ragged.spread(ends[:-1][behind], n)] = index[len(words) + len(marks) :]
+        starts, ids = ragged.raw(self._merged(found.dictionary.cast(pa.large_binary())).take(pa.array(order)))
+        return ragged.binaries(starts[ends], ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty) one after another, and where those of each begin, and the end."""
@@ -302,8 +288,8 @@ class Codec:
         counts = np.empty(len(texts), np.int64)
         counts[unsafe] = n = np.fromiter(map(len, cuts), np.int64, len(cuts))
         counts[~unsafe] = pc.list_value_length(between)
-        own, rest = _starts(counts), between.flatten()
-        firsts = _starts(counts[~unsafe])[:-1]
+        own, rest = ragged.starts(counts), between.flatten()
+        firsts = ragged.starts(counts[~unsafe])[:-1]
         led = rest.dictionary_encode()  # a space stands before them
         bare = pa.concat_arrays([rest.take(pa.array(firsts)), pa.array([w for x in cuts for w in x], pa.large_string())]).dictionary_encode()
         spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), led.dictionary, pa.scalar(" ", pa.large_string()))
@@ -313,7 +299,7 @@ class Codec:
         order = np.empty(own[-1], np.int64)
         cut = np.repeat(unsafe, counts)
         order[~cut], order[cut] = index, other[len(firsts) :]
-        starts, ids = _raw(self._pieces(pieces).take(pa.array(order)))
+        starts, ids = ragged.raw(self._pieces(pieces).take(pa.array(order)))
         return np.frombuffer(ids, "<u4"), starts[own] // 4
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, memoryview]:
@@ -321,7 +307,7 @@ class Codec:
         found = self.spelled.take(pa.array(ids))
         if found.null_count:
             raise KeyError("ids without a token")
-        return _raw(found)
+        return ragged.raw(found)
 
     def parts(self, text: str) -> list[bytes]:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -350,24 +336,6 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def _blocks(batch: pa.RecordBatch):
-    """Rows of a batch, a few megabytes of text at a time."""
-    held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    start = 0
-    while start < batch.num_rows:
-        before = held[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(held, before + BLOCK_BYTES, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
-def _list_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a column of lists (null: empty) one after another, and where those of each row begin, and the end."""
-    lists = batch.column(1)
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    return lists.flatten().to_numpy(zero_copy_only=False), _starts(sizes)
-
-
 def _digests(own: Codec, key: pa.Array, ids: np.ndarray, starts: np.ndarray, names: list[str]) -> pa.RecordBatch:
     """Number of ids, and SHA-256 of the ids and of the bytes they decode to."""
     import hashlib
@@ -387,7 +355,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", ranks: str |
     def rows(batches):
         own = codec(ranks, pattern)
         for batch in batches:
-            for block in _blocks(batch):
+            for block in ragged.blocks(batch, 1, BLOCK_BYTES):
                 ids, starts = own.encode(block.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays([block.column(0), lists], names=[id, "ids"])
@@ -402,9 +370,9 @@ def decode(tokens: DataFrame, id: str = "doc_id", ids: str = "ids", ranks: str |
     def rows(batches):
         own = codec(ranks, pattern)
         for batch in batches:
-            found, starts = _list_rows(batch)
+            found, starts = ragged.lists(batch.column(1))
             ends, text = own.decode(found)
-            out = _binaries(ends[starts], text).cast(pa.binary())
+            out = ragged.binaries(ends[starts], text).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], names=[id, "ids", "bytes"])
 
     return tokens.select(id, ids).mapInArrow(rows, f"`{id}` {dict(tokens.dtypes)[id]}, ids array<int>, bytes binary")
@@ -417,7 +385,7 @@ def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", ranks: s
     def rows(batches):
         own = codec(ranks, pattern)
         for batch in batches:
-            for block in _blocks(batch):
+            for block in ragged.blocks(batch, 1, BLOCK_BYTES):
                 yield _digests(own, block.column(0), *own.encode(block.column(1)), [id, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(id, text).mapInArrow(rows, f"`{id}` {dict(docs.dtypes)[id]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -430,6 +398,6 @@ def digests(tokens: DataFrame, id: str = "doc_id", ids: str = "ids", ranks: str
     def rows(batches):
         own = codec(ranks, pattern)
         for batch in batches:
-            yield _digests(own, batch.column(0), *_list_rows(batch), [id, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield _digests(own, batch.column(0), *ragged.lists(batch.column(1)), [id, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return tokens.select(id, ids).mapInArrow(rows, f"`{id}` {dict(tokens.dtypes)[id]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from framelens.llm import byte_bpe
+from framelens.llm import byte_bpe, token_store
 
 LETTERS = "etaoinshrdlucfmwypvbgkjqxz"
 
@@ -82,3 +82,50 @@ def test_other_patterns_skip_no_word():
     own, tiktoken = byte_bpe.Codec(ranks, pattern), library(ranks, pattern)
     for text in ("abc, def.", "abc"):
         assert encoded(own, [text]) == [tiktoken.encode_ordinary(text)]
+
+
+class Counting:
+    """The library, counting the words that it is given."""
+
+    def __init__(self, library):
+        self.library, self.words = library, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.words += sum(len(t.split(" ")) for t in texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_token_store_gives_a_word_to_the_library_once():
+    """Case and marks make no new words, and those of blocks before are remembered."""
+    from tokenizers import Tokenizer
+
+    own, whole = token_store.Encoder(token_store.default_tokenizer()), Tokenizer.from_file(token_store.default_tokenizer())
+    own.tokenizer = counting = Counting(own.tokenizer)
+    made = sorted({w.lower() for w in words(5000, 2) if "ß" not in w})  # which is SS in upper case
+    texts = [" ".join(f(w) + m for w in made) for f in (str.lower, str.upper, str.title) for m in ("", ",", ".", "!?", '"...', "###", "'")]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert counting.words <= len(made) + 10
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    own.encode(["the"])
+    own.encode([" ".join(made[::-1])])
+    assert counting.words <= len(made) + 10
+
+
+def test_token_store_encodes_any_mix_of_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "REMEMBERED", 40)
+    monkeypatch.setattr(token_store, "REMEMBERED_WORDS", 60)
+    monkeypatch.setattr(token_store, "JOINED", 7)
+    own, whole = token_store.Encoder(token_store.default_tokenizer()), Tokenizer.from_file(token_store.default_tokenizer())
+    texts = [f"{c}a{c.upper()}{c.lower()}{m} {c}{m}" for c in token_store.LATIN for m in ("", ".", "'s", "`", "^x", "́")]
+    texts += [a + b for a in ("İ", "x", "ß", "I") for b in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
+    texts += ["", " ", "\n\n", "a  b", "Привет, мир. МИР", "x<|endoftext|> y<|endoftext|>.", "<|startoftext|>a", "日本語。 1234, a1", "we'll don't 's '", "a\tb c.", "é. É", "A" * 3000, "\x00. x\x00"]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+        for i in range(0, len(texts), 50):
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts[i : i + 50])] == want[i : i + 50]
+            assert len(own.words) == len(own.word_ids) <= 60 and len(set(own.words.to_pylist())) == len(own.words)
+    ids, starts = own.encode_column(pa.array(["left out", None, "a b"])[1:])
+    assert starts.tolist() == [0, 0, 2] and ids.tolist() == whole.encode("a b", add_special_tokens=False).ids
