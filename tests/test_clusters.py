@@ -1,9 +1,11 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from framelens.operators import clusters as cl
 from framelens.operators import models as md
+from framelens.queries import learning
 
 
 def blobs(spark, n, parts=3, d=5, k=6):
@@ -81,3 +83,30 @@ def test_batches_without_rows(spark, monkeypatch):
     monkeypatch.setattr(cl, "BATCH_ROWS", 20)
     rows = spark.createDataFrame([(7, [float(i), 0.0]) for i in range(200)], "idx long, x array<double>")
     assert cl.fit(rows, "idx", "x", 2, 200).shape[1] == 2
+
+
+def test_a_fit_ends_after_every_row_was_in_a_step(spark, monkeypatch):
+    """Many small batches on rows without clusters, where patience ends at once."""
+    monkeypatch.setattr(cl, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(cl, "BATCH_ROWS", 10)
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 2)))], "idx long, x array<double>")
+    passed, sums = [], cl._sums
+    monkeypatch.setattr(cl, "_sums", lambda table, centres: passed.append(sums(table, centres)) or passed[-1])
+    assert cl.fit(rows, "idx", "x", 2, 2000, cl.Fit(patience=0)).shape == (2, 2)
+    assert sum(counts.sum() for _, counts, _ in passed[1:]) >= 2000  # the first pass weighs the candidates
+
+
+def test_action_buckets_fit_sixty_four_clusters_on_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    stamps = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(400), unit="s")
+    events = pd.DataFrame({"event_id": np.arange(400), "ts": stamps.astype("datetime64[us]"), "user_id": np.arange(400) % 8,
+                           "event_type": [["view", "click", "purchase"][i % 3] for i in range(400)], "value": rng.normal(size=400),
+                           "props": [f'{{"k": {i}}}' for i in range(400)]})
+    vectors = pd.DataFrame({"vec_id": np.arange(5), "label": np.arange(5), "embedding": list(rng.normal(size=(5, 64)).astype("float32"))})
+    events.to_parquet(tmp_path / "events.parquet")
+    vectors.to_parquet(tmp_path / "embeddings.parquet")
+    found = learning.kmeans_action_buckets(spark, str(tmp_path)).toPandas()
+    assert set(found["requested_clusters"]) == set(found["effective_clusters"]) == {64}
+    assert set(found["fit_rows"]) == {320} and found.groupby("action_target")["bucket_count"].sum().tolist() == [320, 320]
+    assert found.groupby("action_target")["bucket"].nunique().min() > 50
