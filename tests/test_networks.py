@@ -1,8 +1,12 @@
+import os
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from framelens import session
 from framelens.operators import models as md
 from framelens.operators import network as net
 
@@ -90,3 +94,82 @@ def test_feature_sets_share_passes_and_nothing_else(spark, monkeypatch):
     b, n_b = scores({"b": "other"})
     assert both == pytest.approx({**a, **b}, rel=1e-6) and len(both) == 4
     assert n_both == max(n_a, n_b)
+
+
+def labelled(spark, n=400):
+    """Narrow rows, and their label vectors (single precision, as stored) by key."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, 12)).astype("float32").astype(float)
+    y = x[:, :2] + rng.normal(size=(n, 2)) * 0.1
+    rows = spark.createDataFrame([(i, i // 20, y[i].tolist()) for i in range(n)], "idx bigint, episode_index bigint, y array<double>")
+    wide = spark.createDataFrame([(i, x[i].tolist(), [int(v > 0) for v in x[i, :3]]) for i in range(n)], "idx bigint, continuous array<double>, ids array<bigint>")
+    return rows, wide
+
+
+def probe_scores(rows, wide, models):
+    found = md.run_probes(rows, {"continuous": "continuous", "ids_onehot": "ids"}, {"t": "y"}, models=models, split_mode="row", wide=wide, network=net.Settings(hidden=(8,), rounds=4))
+    return {(r.probe_model, r.feature_set, r.action_dim): r.mse for r in found.collect()}
+
+
+def test_large_columns_are_stored_in_parts_and_only_once(spark, monkeypatch):
+    rows, wide = labelled(spark)
+    whole = probe_scores(rows, wide, ("mlp",))
+    stored, parts, written, in_parts = [], [], md.written, session.written_in_parts
+    monkeypatch.setattr(md, "written", lambda s, df, *a: stored.append(set(df.columns)) or written(s, df, *a))
+    for module in (session, md):
+        monkeypatch.setattr(module, "written_in_parts", lambda s, part, n, by=None: parts.append(n) or in_parts(s, part, n, by))
+    monkeypatch.setattr(session, "PART_BYTES", 20_000)
+    monkeypatch.setattr(net.blocks, "__defaults__", (0, True, 16, 50))
+    assert probe_scores(rows, wide, ("mlp",)).keys() == whole.keys()
+    assert len(parts) == 2 and min(parts) > 1, parts  # the rows with their vectors, and their blocks
+    assert not any(c in {"continuous", "_s"} or c.startswith("_x") for columns in stored for c in columns), stored
+    monkeypatch.setattr(net.blocks, "__defaults__", (0, True, net.BLOCK_ROWS, net.BATCH_ROWS))
+    assert probe_scores(rows, wide, ("mlp",)) == pytest.approx(whole, rel=1e-6)
+
+
+def test_parts_hold_every_row_once(spark, monkeypatch):
+    rows, wide = labelled(spark)
+    split = rows.withColumn("side", F.lit("train"))
+    vectors = wide.join(rows, "idx").select("idx", array_to_vector("continuous").alias("x"), array_to_vector(F.col("ids").cast("array<double>")).alias("h"), "y")
+
+    def stored():
+        joined = md._with_wide(split, wide, "idx")
+        table, n_batches = net.blocks(vectors, "idx", ["x", "h"], "y", 400, 3, block_rows=16, batch_rows=50)
+        found = sorted((r.batch, r.n, tuple(map(bytes, r.x)), bytes(r.y)) for r in table.collect())
+        return sorted(joined.select("idx", "side", "continuous", "ids", "y").collect()), found, n_batches
+
+    whole = stored()
+    monkeypatch.setattr(session, "PART_BYTES", 10_000)
+    assert stored() == whole
+    assert len(whole[0]) == 400 and sum(n for _, n, _, _ in whole[1]) == 400
+
+
+def test_blocks_hold_features_in_the_narrowest_exact_type(spark):
+    rows, wide = labelled(spark)
+    vectors = wide.join(rows, "idx").select("idx", array_to_vector("continuous").alias("x"), array_to_vector(F.col("ids").cast("array<double>")).alias("h"), "y")
+    table, _ = net.blocks(vectors, "idx", ["x", "h"], "y", 400, block_rows=50)
+    found = table.collect()
+    assert all(len(r.x[0]) == 4 * 12 * r.n and len(r.x[1]) == 3 * r.n and len(r.y) == 8 * 2 * r.n for r in found)
+    read = np.vstack([net.Features(12).read(r.x[0], r.n) for r in found])
+    own = np.array([r.continuous for r in wide.collect()])
+    assert (read[np.lexsort(read.T)] == own[np.lexsort(own.T)]).all()
+    scaled = net.Features(12, own.mean(0), own.std(0)).read(found[0].x[0], found[0].n)
+    assert (scaled == (net.Features(12).read(found[0].x[0], found[0].n) - own.mean(0)) / own.std(0)).all()
+    for values in ([0.1, 2.0], [1e300, 1.0], [np.nan, 1.0], [300.5, -129.0], [np.inf, 0.0]):
+        raw = net.narrowed(np.array(values))
+        assert np.array_equal(net._numbers(raw, 1, 2)[0], values, equal_nan=True)
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f for folder in folders for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle")}
+
+    before = shuffled()
+    table = session.written(spark, spark.range(100_000).repartition(7).groupBy((F.col("id") % 1000).alias("k")).count())
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert table.count() == 1000
