@@ -173,3 +173,12 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not shuffled() - before
     assert table.count() == 1000
+
+
+def test_ridge_inputs_are_not_stored(spark, monkeypatch):
+    rows, wide = labelled(spark)
+    stored, written = [], md.written
+    monkeypatch.setattr(md, "written", lambda s, df, *a: stored.append(set(df.columns)) or written(s, df, *a))
+    found = probe_scores(rows, wide, ("ridge",))
+    assert len(found) == 4 and max(v for (_, name, _), v in found.items() if name == "continuous") < 0.02
+    assert not any("_x" in columns for columns in stored), stored
